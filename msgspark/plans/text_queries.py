@@ -131,7 +131,7 @@ def valid_job_id(spark, sf):
 
 
 @query("valid_filename", """
-SELECT page_id, CASE WHEN regexp_matches(name, '[<>:"|?*\\\\/]') THEN 'characters'
+SELECT page_id, CASE WHEN name = '' THEN 'name' WHEN regexp_matches(name, '[<>:"|?*\\\\/]') THEN 'characters'
   WHEN ext NOT IN ('csv', 'txt') OR ext IS NULL THEN 'extension' END AS problem FROM (
   SELECT page_id, name, CASE WHEN contains(name, '.') THEN lower(string_split(name, '.')[-1]) END AS ext FROM (
     SELECT page_id, CASE WHEN page_id % 3 = 0 THEN string_split(url, '/')[-1] || '.csv'
