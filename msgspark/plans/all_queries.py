@@ -1,4 +1,4 @@
 """Imports every query module, which fills the registry."""
 
-from . import model_queries, text_queries  # noqa: F401
+from . import csv_queries, model_queries, telemetry_queries, text_queries, vector_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

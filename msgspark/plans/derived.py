@@ -6,9 +6,10 @@ next to each function states the same derivation for the checks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators import evaluate as ev
+from ..operators.ranking import global_rank
 from .registry import table
 
 AS_OF_TEXT = "2024-01-30 00:00:00"
@@ -170,10 +171,10 @@ FILES = """files AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'results/batch_resul
 
 def results(spark, sf) -> DataFrame:
     """Scored messages of one job per user, numbered in event order."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = global_rank(events(spark, sf), order_by=["event_id"], partition_by=["user_id"], name="rank")
     bad = (F.col("event_type") == "error") | (F.col("value") < 6)
-    return events(spark, sf).select(
-        F.col("user_id").alias("job_id"), F.row_number().over(w).cast("bigint").alias("email_index"), "event_id",
+    return e.select(
+        F.col("user_id").alias("job_id"), (F.col("rank") + 1).alias("email_index"), "event_id",
         F.when(bad, "error").otherwise("success").alias("status"),
         F.when(bad, F.concat(F.lit("bad "), "event_type")).alias("error_message"),
         F.when(bad, "Error").when(F.col("value") > 60, "Spam").otherwise("Legitimate").alias("prediction"))

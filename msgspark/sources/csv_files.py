@@ -174,7 +174,8 @@ def read_labelled(spark: SparkSession, paths: str | list[str], *, text: str = "t
                   encoding: str = "UTF-8") -> DataFrame:
     """Strict labelled load: required header, nulls dropped, first of equal texts, labels normalised.
 
-    Files have to share one header, which is read without scanning the data.
+    Files have to share one header, which is read without scanning the data. First means
+    the lowest position in the file with the lowest path.
     """
     reader = (spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
               .option("encoding", encoding))
@@ -182,14 +183,14 @@ def read_labelled(spark: SparkSession, paths: str | list[str], *, text: str = "t
     missing = [c for c in (text, label) if c not in df.columns]
     if missing:
         raise ValueError("; ".join(f"Required column '{c}' not found in CSV" for c in missing))
-    rows = df.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("row_id"),
-                     F.col(text).alias("text"), F.col(label).alias("label"))
-    return clean_labelled(rows)
+    rows = df.select(F.struct(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("seq"))
+                     .alias("position"), F.col(text).alias("text"), F.col(label).alias("label"))
+    return clean_labelled(rows, row_id="position").select("position.path", "position.seq", "text", "label")
 
 
 def read_batch(spark: SparkSession, paths: str | list[str], **kw) -> DataFrame:
     """Strict batch load: the valid messages of ``read_labelled``."""
-    return validate_messages(read_labelled(spark, paths, **kw)).filter("is_valid").select("path", "row_id", "text")
+    return validate_messages(read_labelled(spark, paths, **kw)).filter("is_valid").select("path", "seq", "text")
 
 
 def read_v1v2(spark: SparkSession, paths: str | list[str]) -> DataFrame:
