@@ -180,7 +180,7 @@ def isolation_forest(points: DataFrame, *, dim: int, n_trees: int = N_TREES, tre
     sample = drawn.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= tree_rows)
     rows = sample.select("id", "tree").join(points, "id")  # at most n_trees * tree_rows rows
 
-    def grow(key, table: pa.Table) -> pa.Table:
+    def grow(key, table):
         tree = key[0].as_py()
         order = np.argsort(table.column("id").to_numpy())
         x = matrix(table, dim)[order]
