@@ -16,9 +16,19 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The same characters as a plain string for trimming (no regular expression involved).
+WS_CHARS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                             0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c) -> Column:
     """Trim all Unicode white space (Spark's ``trim`` drops U+0020 only)."""
-    return F.regexp_replace(_col(c), f"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(_col(c), F.lit(WS_CHARS))
 
 
 def lower_text(c) -> Column:
@@ -26,7 +36,14 @@ def lower_text(c) -> Column:
 
 
 def strip_addresses(c) -> Column:
-    return F.regexp_replace(_col(c), f"[^{WS}]+@[^{WS}]+", "")
+    """Drop every word that has an @ between other characters.
+
+    The pattern takes the blank before a word with it, so it is tried once per word and is
+    linear in the text even for very long words; texts without @ skip it.
+    """
+    c = _col(c)
+    bare = F.regexp_replace(c, f"(^|[{WS}])[^{WS}][^{WS}@]*+@[^{WS}]++", "$1")
+    return F.when(c.contains("@"), bare).otherwise(c)
 
 
 def strip_urls(c) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.labels import format_prediction
-from ..functions.text import _col, preview, strip
+from ..functions.text import _col, let, preview, strip
 from . import bayes
 
 RESULT_COLUMNS = ("email_index", "email_text", "prediction", "confidence", "model_used", "processing_time",
@@ -15,12 +15,11 @@ RESULT_COLUMNS = ("email_index", "email_text", "prediction", "confidence", "mode
 
 def scoring_error(c) -> Column:
     """Why a message cannot be scored, null when it can."""
-    raw, bare = _col(c), strip(c)
-    return (
-        F.when(raw.isNull() | (bare == ""), "Empty email content")
-        .when(F.length(bare) < fv.MIN_MESSAGE, "Email content too short (minimum 10 characters)")
-        .when(F.length(raw) > fv.MAX_MESSAGE, f"Invalid email text: {fv.ERR_LONG}")
-    )
+    n = F.struct(F.coalesce(F.length(strip(c)), F.lit(0)).alias("bare"), F.length(_col(c)).alias("raw"))
+    return let(n, lambda n: (
+        F.when(n["bare"] == 0, "Empty email content")
+        .when(n["bare"] < fv.MIN_MESSAGE, "Email content too short (minimum 10 characters)")
+        .when(n["raw"] > fv.MAX_MESSAGE, f"Invalid email text: {fv.ERR_LONG}")))
 
 
 def result_rows(checked: DataFrame, scored: DataFrame, *, index: str = "email_index", text: str = "text",

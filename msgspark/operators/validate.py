@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.text import _col, strip
+from ..functions.text import _col, let, strip
+
+
+def _lengths(c) -> Column:
+    """Length of the stripped and of the raw text, read once per message."""
+    return F.struct(F.length(strip(c)).alias("bare"), F.length(_col(c)).alias("raw"))
 
 
 def message_errors(c, *, on_stripped: bool = False) -> Column:
@@ -14,33 +19,29 @@ def message_errors(c, *, on_stripped: bool = False) -> Column:
     ``on_stripped`` measures the upper limit on the stripped text (the request check)
     instead of the raw text (the loader check).
     """
-    raw, bare = _col(c), strip(c)
-    measured = bare if on_stripped else raw
-    usable = raw.isNotNull() & (bare != "")
-    return F.array_compact(F.array(
-        F.when(raw.isNull(), fv.ERR_NONE),
-        F.when(bare == "", fv.ERR_EMPTY),
-        F.when(usable & (F.length(bare) < fv.MIN_MESSAGE), fv.ERR_SHORT),
-        F.when(usable & (F.length(measured) > fv.MAX_MESSAGE), fv.ERR_LONG),
-    ))
+    def rules(n: Column) -> Column:
+        bare, measured = n["bare"], n["bare"] if on_stripped else n["raw"]
+        return F.array_compact(F.array(
+            F.when(bare.isNull(), fv.ERR_NONE),
+            F.when(bare == 0, fv.ERR_EMPTY),
+            F.when((bare > 0) & (bare < fv.MIN_MESSAGE), fv.ERR_SHORT),
+            F.when((bare > 0) & (measured > fv.MAX_MESSAGE), fv.ERR_LONG),
+        ))
+    return let(_lengths(c), rules)
 
 
 def message_warnings(c) -> Column:
-    n = F.length(strip(c))
-    return F.array_compact(F.array(
-        F.when((n >= fv.MIN_MESSAGE) & (n < fv.SHORT_MESSAGE), fv.WARN_SHORT)
-    ))
+    return let(F.length(strip(c)), lambda n: F.array_compact(F.array(
+        F.when((n >= fv.MIN_MESSAGE) & (n < fv.SHORT_MESSAGE), fv.WARN_SHORT))))
 
 
 def request_error(c, field: str = "email_text") -> Column:
     """First failing request check as one message, null when the text passes."""
-    raw, bare = _col(c), strip(c)
-    return (
-        F.when(raw.isNull(), f"{field} cannot be None")
-        .when(bare == "", f"{field} cannot be empty")
-        .when(F.length(bare) < fv.MIN_MESSAGE, f"{field} is too short (minimum 10 characters)")
-        .when(F.length(bare) > fv.MAX_MESSAGE, f"{field} is too long (maximum 10,000 characters)")
-    )
+    return let(F.length(strip(c)), lambda n: (
+        F.when(n.isNull(), f"{field} cannot be None")
+        .when(n == 0, f"{field} cannot be empty")
+        .when(n < fv.MIN_MESSAGE, f"{field} is too short (minimum 10 characters)")
+        .when(n > fv.MAX_MESSAGE, f"{field} is too long (maximum 10,000 characters)")))
 
 
 def validate_messages(df: DataFrame, *, text: str = "text", mode: str = "raw") -> DataFrame:

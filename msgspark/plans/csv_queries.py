@@ -29,15 +29,14 @@ def _pick(names, key):
 
 def heads(spark, sf) -> DataFrame:
     """(file_id, first_record, second_record, data_rows) per document."""
-    t = table(spark, sf, "documents")
-    lines = F.split("text", "\n")
-    rows = F.transform(lines, lambda s: F.split(s, ","))
+    t = table(spark, sf, "documents", spread_by="doc_id").withColumn("lines", F.split("text", "\n"))
+    rows = F.transform(F.slice("lines", 1, 10), lambda s: F.split(s, ","))
     named = F.array(_pick(FIRST, "doc_id"), _pick(SECOND, "doc_id"), F.col("lang"), F.col("source"))
     bare = F.col("lang") == "de"
     return t.select(
         F.col("doc_id").alias("file_id"), F.when(bare, F.get(rows, F.lit(0))).otherwise(named).alias("first_record"),
         F.when(bare, F.get(rows, F.lit(1))).otherwise(F.get(rows, F.lit(0))).alias("second_record"),
-        F.slice(rows, 1, 10).alias("data_rows"))
+        rows.alias("data_rows"))
 
 
 def _list(names):
@@ -102,8 +101,7 @@ PROFILE = f"""{COLS}, prof AS (SELECT p.file_id, has_header, CASE WHEN has_heade
 
 
 def profiled(spark, sf) -> DataFrame:
-    return heads(spark, sf).withColumns(H.profile_columns("first_record", "second_record")).withColumns(
-        H.column_positions("first_record")).withColumn("detected_encoding", F.lit("utf-8"))
+    return H.add_profile(heads(spark, sf)).withColumn("detected_encoding", F.lit("utf-8"))
 
 
 @query("csv_confidence", f"WITH {PROFILE} SELECT file_id, has_header, email_column, label_column, column_count, format_type, confidence_score FROM fmt")

@@ -25,5 +25,14 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
+    """A parquet table; ``spread_by`` hashes it over all cores if it has fewer splits.
+
+    Large inputs have enough splits and are read as they are. Only a small file in one row
+    group, whose whole text work would otherwise run in one task, pays the exchange.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread_by and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, spread_by)
+    return df

@@ -11,7 +11,7 @@ from .registry import query, table
 
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    return table(spark, sf, "documents", spread_by="doc_id").select(F.col("doc_id").alias("row_id"), "text")
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:

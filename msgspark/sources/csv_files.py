@@ -74,8 +74,7 @@ def profile_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row per file: format, chosen columns and their positions, checks and advice."""
     heads = file_heads(spark, paths).withColumns({
         "first_record": F.get(F.col("records"), F.lit(0)), "second_record": F.get(F.col("records"), F.lit(1))})
-    p = heads.withColumns(H.profile_columns("first_record", "second_record"))
-    p = p.withColumns(H.column_positions("first_record"))
+    p = H.add_profile(heads)
     rows = F.when(F.col("has_header"), F.slice("records", 2, 10)).otherwise(F.slice("records", 1, 10))
     p = p.withColumn("data_rows", F.coalesce(rows, F.expr("cast(array() as array<array<string>>)")))
     fe, fw = H.file_messages(F.col("path"), F.col("length"))

@@ -6,10 +6,10 @@ many files is one projection without a shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.text import strip
+from ..functions.text import let, strip
 
 
 def _key(name: Column) -> Column:
@@ -24,11 +24,13 @@ def _has_any(name: Column, words) -> Column:
 
 
 def name_score(name: Column, known, keyword_groups) -> Column:
-    key = _key(name)
-    score = F.when(key.isin(*known), fv.EXACT_NAME_SCORE).otherwise(0)
-    for points, words in keyword_groups:
-        score = score + F.when(_has_any(key, words), points).otherwise(0)
-    return score
+    def points_of(key: Column) -> Column:
+        score = F.when(key.isin(*known), fv.EXACT_NAME_SCORE).otherwise(0)
+        for points, words in keyword_groups:
+            score = score + F.when(_has_any(key, words), points).otherwise(0)
+        return score
+
+    return let(_key(name), points_of)
 
 
 def text_score(name: Column) -> Column:
@@ -42,8 +44,7 @@ def label_score(name: Column) -> Column:
 def _first_best(header: Column, score) -> Column:
     """First name with the highest score, null unless that is positive."""
     ranked = F.transform(header, lambda h, i: F.struct(score(h).alias("s"), (-i).alias("i"), h.alias("h")))
-    best = F.array_max(ranked)
-    return F.when(best["s"] > 0, best["h"])
+    return let(F.array_max(ranked), lambda best: F.when(best["s"] > 0, best["h"]))
 
 
 def text_column(header: Column) -> Column:
@@ -60,8 +61,7 @@ def label_column(header: Column) -> Column:
 def is_header_row(row: Column) -> Column:
     """More known or telling names than long fields."""
     def points(h: Column) -> Column:
-        key = _key(h)
-        return F.when(key.isin(*fv.TEXT_NAMES, *fv.LABEL_NAMES), 2).when(_has_any(key, fv.HEADER_HINTS), 1).otherwise(0)
+        return let(_key(h), lambda key: F.when(key.isin(*fv.TEXT_NAMES, *fv.LABEL_NAMES), 2).when(_has_any(key, fv.HEADER_HINTS), 1).otherwise(0))
 
     gained = F.aggregate(row, F.lit(0), lambda acc, h: acc + points(h))
     long = F.size(F.filter(row, lambda h: F.length(strip(h)) > 50))
@@ -83,31 +83,29 @@ def confidence(text_col: Column, label_col: Column, has_header: Column, sample_f
     return F.least(F.lit(1.0), F.round(total, 2))
 
 
-def profile_columns(first: str, second: str) -> dict[str, Column]:
-    """Format columns from the first two records (arrays of fields) of a file.
+def add_profile(df: DataFrame, first: str = "first_record", second: str = "second_record") -> DataFrame:
+    """Add the format columns judged from the first two records (arrays of fields) of a file.
 
-    A file without a header takes its first column as text and its second as label.
+    A file without a header takes its first column as text and its second as label. One
+    step per column, so each judgement is made once.
     """
     a, b = F.col(first), F.col(second)
-    has_header = is_header_row(a)
-    text = F.when(has_header, text_column(a)).when(F.size(a) >= 1, "0")
-    label = F.when(has_header, label_column(a)).when(~has_header & (F.size(a) >= 2), "1")
-    sample = F.when(b.isNotNull(), F.when(has_header, F.get(b, F.lit(0))).otherwise(F.get(a, F.lit(0))))
-    return {
-        "has_header": has_header, "email_column": text, "label_column": label,
+    head = F.col("has_header")
+    by_name = lambda name: F.array_position(a, F.col(name)) - 1
+    pos = lambda name: F.when(head, F.when(by_name(name) >= 0, by_name(name))).otherwise(
+        F.col(name).try_cast("bigint")).cast("int")
+    df = df.withColumn("has_header", is_header_row(a))
+    df = df.withColumns({
+        "email_column": F.when(head, text_column(a)).when(F.size(a) >= 1, "0"),
+        "label_column": F.when(head, label_column(a)).when(~head & (F.size(a) >= 2), "1"),
         "column_count": F.when(a.isNull(), 0).otherwise(F.size(a)),
-        "format_type": format_type(text, label),
-        "confidence_score": confidence(text, label, has_header, sample),
-    }
-
-
-def column_positions(first: str) -> dict[str, Column]:
-    """0-based positions of the chosen columns (after ``profile_columns``)."""
-    def pos(name: str) -> Column:
-        by_name = F.array_position(F.col(first), F.col(name)) - 1
-        return F.when(F.col("has_header"), F.when(by_name >= 0, by_name)).otherwise(F.col(name).try_cast("bigint")).cast("int")
-
-    return {"text_pos": pos("email_column"), "label_pos": pos("label_column")}
+        "_sample": F.when(b.isNotNull(), F.when(head, F.get(b, F.lit(0))).otherwise(F.get(a, F.lit(0)))),
+    })
+    return df.withColumns({
+        "format_type": format_type(F.col("email_column"), F.col("label_column")),
+        "confidence_score": confidence(F.col("email_column"), F.col("label_column"), head, F.col("_sample")),
+        "text_pos": pos("email_column"), "label_pos": pos("label_column"),
+    }).drop("_sample")
 
 
 def unique_names(header: Column) -> Column:
