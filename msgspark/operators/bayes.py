@@ -17,7 +17,7 @@ def class_priors(labelled: DataFrame, *, label: str = "label", weight: str | Non
 
 
 def fit_terms(weights: DataFrame, vocab: DataFrame, *, label: str = "label", alpha: float = 1.0,
-              weight: str = "weight", key: str = "term") -> DataFrame:
+              weight: str = "weight", key: str = "term_idx") -> DataFrame:
     """(term, term_idx, idf, theta0, theta1): smoothed log likelihoods on the full grid."""
     per_term = weights.groupBy(key).agg(
         F.sum(F.when(F.col(label) == 0, F.col(weight)).otherwise(0.0)).alias("s0"),
@@ -39,7 +39,7 @@ def fit(docs: DataFrame, *, text: str = "text", label: str = "label", row_id: st
     """(term table, prior row) learned from labelled messages."""
     counts = feat.term_counts(docs, text=text, row_id=row_id, keep=(label,))
     vocab = feat.vocabulary(counts, docs, max_features=max_features, **vocab_args)
-    weights = feat.tfidf(counts, vocab, row_id=row_id, keep=(label,), max_features=max_features)
+    weights = feat.tfidf(docs, vocab, text=text, row_id=row_id, keep=(label,), max_features=max_features)
     return fit_terms(weights, vocab, label=label), class_priors(docs, label=label)
 
 
@@ -50,12 +50,10 @@ def score(docs: DataFrame, terms: DataFrame, priors: DataFrame, *, text: str = "
     The norm of a row divides the whole sum, so weighting, normalising and scoring are one
     aggregation on the partitioning the term counts already have.
     """
-    counts = feat.term_counts(docs, text=text, row_id=row_id, keep=keep, keep_empty=True)
-    table = terms.select("term", "idf", "theta0", "theta1")
-    if max_features is not None and max_features <= feat.BROADCAST_TERMS:
-        table = F.broadcast(table)
+    known = feat.known_counts(docs, terms, values=("idf", "theta0", "theta1"), text=text, row_id=row_id, keep=keep,
+                              max_features=max_features, keep_empty=True)
     raw = feat.raw_weight(F.col("tf"), F.col("idf"))
-    sums = counts.join(table, "term", "left").groupBy(row_id, *keep).agg(
+    sums = known.groupBy(row_id, *keep).agg(
         F.sum(raw * F.col("theta0")).alias("d0"), F.sum(raw * F.col("theta1")).alias("d1"),
         F.sqrt(F.sum(raw * raw)).alias("norm"),
     )

@@ -76,21 +76,42 @@ def raw_weight(tf: Column, idf_: Column) -> Column:
     return (F.log(tf.cast("double")) + 1.0) * idf_
 
 
-def tfidf(counts: DataFrame, vocab: DataFrame, *, row_id: str = "row_id", keep: tuple[str, ...] = (),
-          max_features: int | None = MAX_FEATURES) -> DataFrame:
+def known_counts(docs: DataFrame, table: DataFrame, *, values: tuple[str, ...] = ("idf",), text: str = "text",
+                 row_id: str = "row_id", keep: tuple[str, ...] = (), ngram_range: tuple[int, int] = (1, 2),
+                 max_features: int | None = MAX_FEATURES, keep_empty: bool = False) -> DataFrame:
+    """(row_id, keep..., term_idx, values..., tf) of the terms in ``table`` (term, term_idx, values...).
+
+    A bounded vocabulary is looked up before counting: unknown terms drop out at once and
+    the counting runs on fixed-width keys. Otherwise terms are counted first, so the join
+    moves one row per document and term. ``keep_empty`` leaves rows with a null term_idx.
+    """
+    lookup = _maybe_broadcast(table.select("term", "term_idx", *values), max_features)
+    how = "left" if keep_empty else "inner"
+    if max_features is not None and max_features <= BROADCAST_TERMS:
+        arrays = gram_arrays(docs, text=text, row_id=row_id, keep=keep)
+        expand = F.explode_outer if keep_empty else F.explode
+        found = arrays.select(row_id, *keep, expand(T.ngrams("tokens", *ngram_range)).alias("term")).join(lookup, "term", how)
+        return found.groupBy(row_id, *keep, "term_idx", *values).agg(F.count(F.lit(1)).alias("tf"))
+    counts = term_counts(docs, text=text, row_id=row_id, keep=keep, ngram_range=ngram_range, keep_empty=keep_empty)
+    return counts.join(lookup, "term", how).select(row_id, *keep, "term_idx", *values, "tf")
+
+
+def tfidf(docs: DataFrame, vocab: DataFrame, *, text: str = "text", row_id: str = "row_id", keep: tuple[str, ...] = (),
+          ngram_range: tuple[int, int] = (1, 2), max_features: int | None = MAX_FEATURES) -> DataFrame:
     """(row_id, keep..., term, term_idx, tf, weight), L2-normalised per row; sparse."""
-    known = counts.join(_maybe_broadcast(vocab.select("term", "term_idx", "idf"), max_features), "term")
+    known = known_counts(docs, vocab, text=text, row_id=row_id, keep=keep, ngram_range=ngram_range, max_features=max_features)
     raw = known.withColumn("raw", raw_weight(F.col("tf"), F.col("idf")))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(row_id)))
-    return raw.select(row_id, *keep, "term", "term_idx", "tf", (F.col("raw") / norm).alias("weight"))
+    weights = raw.select(row_id, *keep, "term_idx", "tf", (F.col("raw") / norm).alias("weight"))
+    return weights.join(_maybe_broadcast(vocab.select("term_idx", "term"), max_features), "term_idx")
 
 
 def tfidf_arrays(docs: DataFrame, vocab: DataFrame, *, text: str = "text", row_id: str = "row_id",
                  keep: tuple[str, ...] = (), ngram_range: tuple[int, int] = (1, 2),
                  max_features: int | None = MAX_FEATURES) -> DataFrame:
     """One row per message: (row_id, keep..., indices, values); all-unknown rows are empty."""
-    counts = term_counts(docs, text=text, row_id=row_id, keep=keep, ngram_range=ngram_range, keep_empty=True)
-    known = counts.join(_maybe_broadcast(vocab.select("term", "term_idx", "idf"), max_features), "term", "left")
+    known = known_counts(docs, vocab, text=text, row_id=row_id, keep=keep, ngram_range=ngram_range,
+                         max_features=max_features, keep_empty=True)
     raw = raw_weight(F.col("tf"), F.col("idf"))
     rows = known.groupBy(row_id, *keep).agg(
         F.sort_array(F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term_idx", raw.alias("raw"))))).alias("e"),

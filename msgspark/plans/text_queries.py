@@ -293,8 +293,7 @@ def feature_names(spark, sf):
 @query("tfidf_l2", f"WITH {o.tfidf_ctes(ALL_DOCS)} SELECT row_id, term, tf, round(weight, 6) AS weight FROM weights")
 def tfidf_l2(spark, sf):
     docs = messages(spark, sf)
-    counts = feat.term_counts(docs)
-    w = feat.tfidf(counts, feat.vocabulary(counts, docs))
+    w = feat.tfidf(docs, feat.vocabulary(feat.term_counts(docs), docs))
     return w.select("row_id", "term", "tf", F.round("weight", 6).alias("weight"))
 
 
@@ -310,7 +309,7 @@ def tfidf_transform(spark, sf):
     train, docs = labelled(spark, sf), messages(spark, sf)
     new = docs.join(train.select("row_id"), "row_id", "left_anti")
     v = feat.vocabulary(feat.term_counts(train), train)
-    counts = feat.term_counts(new, keep_empty=True).join(F.broadcast(v.select("term", "idf")), "term", "left")
+    counts = feat.known_counts(new, v, keep_empty=True)
     u = feat.raw_weight(F.col("tf"), F.col("idf"))
     return counts.groupBy("row_id").agg(
         F.count(u).alias("nnz"), F.round(F.coalesce(F.sqrt(F.sum(u * u)), F.lit(0.0)), 5).alias("norm"))

@@ -147,8 +147,7 @@ SPARSE = f"""{o.tfidf_ctes(o.LABELLED)}, nz AS (SELECT term AS feature, label =
 def ks_sparse(spark, sf):
     """TF-IDF columns of spam against legitimate messages, zeros counted once per column."""
     docs = labelled(spark, sf)
-    counts = feat.term_counts(docs, keep=("label",))
-    w = feat.tfidf(counts, feat.vocabulary(counts, docs), keep=("label",))
+    w = feat.tfidf(docs, feat.vocabulary(feat.term_counts(docs), docs), keep=("label",))
     nz = w.select(F.col("term").alias("feature"), (F.col("label") == 1).alias("is_synthetic"), F.col("weight").alias("value"),
                   F.lit(1).cast("bigint").alias("weight"))
     totals = docs.groupBy((F.col("label") == 1).alias("is_synthetic")).agg(F.count(F.lit(1)).alias("n_rows"))
