@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..session import cut_lineage
 from .ranking import global_rank
 
 MAX_FEATURES = 5000
@@ -66,6 +67,13 @@ def vocabulary(counts: DataFrame, docs: DataFrame, *, min_df: int = 2, max_df: f
     return top.withColumn("term_idx", F.row_number().over(Window.orderBy("term")) - 1)
 
 
+def fit_vocabulary(docs: DataFrame, *, text: str = "text", row_id: str = "row_id", ngram_range: tuple[int, int] = (1, 2),
+                   **pruning) -> DataFrame:
+    """The vocabulary of ``docs``, stored once: later steps join it several times."""
+    counts = term_counts(docs, text=text, row_id=row_id, ngram_range=ngram_range)
+    return cut_lineage(vocabulary(counts, docs, **pruning))
+
+
 def idf(n: Column, df: Column) -> Column:
     """Smoothed inverse document frequency."""
     return F.log((n + 1) / (df + 1)) + 1.0

@@ -310,5 +310,5 @@ def vocabulary_table(spark, sf):
 
     docs = labelled(spark, sf)
     path = scratch(spark, "vocab")
-    sinks.write_vocabulary(feat.vocabulary(feat.term_counts(docs), docs), path)
+    sinks.write_vocabulary(feat.fit_vocabulary(docs), path)
     return spark.read.parquet(path).select("term", F.round("idf", 6).alias("idf"))

@@ -272,28 +272,28 @@ def term_counts(spark, sf):
 @query("vocab", f"WITH {o.tfidf_ctes(ALL_DOCS)} SELECT term, term_idx, df, cf FROM vocab")
 def vocab(spark, sf):
     docs = messages(spark, sf)
-    v = feat.vocabulary(feat.term_counts(docs), docs)
+    v = feat.fit_vocabulary(docs)
     return v.select("term", F.col("term_idx").cast("bigint").alias("term_idx"), "df", "cf")
 
 
 @query("idf", f"WITH {o.tfidf_ctes(ALL_DOCS)} SELECT term, round(idf, 6) AS idf FROM vocab")
 def idf(spark, sf):
     docs = messages(spark, sf)
-    v = feat.vocabulary(feat.term_counts(docs), docs)
+    v = feat.fit_vocabulary(docs)
     return v.select("term", F.round("idf", 6).alias("idf"))
 
 
 @query("feature_names", f"WITH {o.tfidf_ctes(ALL_DOCS)} SELECT term_idx, term FROM vocab ORDER BY term_idx")
 def feature_names(spark, sf):
     docs = messages(spark, sf)
-    v = feat.feature_names(feat.vocabulary(feat.term_counts(docs), docs))
+    v = feat.feature_names(feat.fit_vocabulary(docs))
     return v.select(F.col("term_idx").cast("bigint").alias("term_idx"), "term")
 
 
 @query("tfidf_l2", f"WITH {o.tfidf_ctes(ALL_DOCS)} SELECT row_id, term, tf, round(weight, 6) AS weight FROM weights")
 def tfidf_l2(spark, sf):
     docs = messages(spark, sf)
-    w = feat.tfidf(docs, feat.vocabulary(feat.term_counts(docs), docs))
+    w = feat.tfidf(docs, feat.fit_vocabulary(docs))
     return w.select("row_id", "term", "tf", F.round("weight", 6).alias("weight"))
 
 
@@ -308,7 +308,7 @@ FROM tgt t LEFT JOIN tu USING (row_id) GROUP BY t.row_id""")
 def tfidf_transform(spark, sf):
     train, docs = labelled(spark, sf), messages(spark, sf)
     new = docs.join(train.select("row_id"), "row_id", "left_anti")
-    v = feat.vocabulary(feat.term_counts(train), train)
+    v = feat.fit_vocabulary(train)
     counts = feat.known_counts(new, v, keep_empty=True)
     u = feat.raw_weight(F.col("tf"), F.col("idf"))
     return counts.groupBy("row_id").agg(
@@ -318,7 +318,7 @@ def tfidf_transform(spark, sf):
 @query("tfidf_vectors", None)
 def tfidf_vectors(spark, sf):
     docs = messages(spark, sf)
-    v = feat.vocabulary(feat.term_counts(docs), docs)
+    v = feat.fit_vocabulary(docs)
     return feat.tfidf_vectors(docs, v, size=feat.MAX_FEATURES)
 
 

@@ -70,8 +70,7 @@ def smote(spark, sf):
 SELECT 0 AS label, false AS is_synthetic, ma AS n FROM t UNION ALL SELECT 1, false, mi FROM t UNION ALL SELECT 1, true, made FROM t""")
 def smote_sparse(spark, sf):
     docs = labelled(spark, sf)
-    counts = feat.term_counts(docs)
-    vocab = feat.vocabulary(counts, docs)
+    vocab = feat.fit_vocabulary(docs)
     arrays = feat.tfidf_arrays(docs, vocab, keep=("label",))
     return sm.smote(arrays, features=None, dim=feat.MAX_FEATURES).groupBy("label", "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
 
@@ -147,7 +146,7 @@ SPARSE = f"""{o.tfidf_ctes(o.LABELLED)}, nz AS (SELECT term AS feature, label =
 def ks_sparse(spark, sf):
     """TF-IDF columns of spam against legitimate messages, zeros counted once per column."""
     docs = labelled(spark, sf)
-    w = feat.tfidf(docs, feat.vocabulary(feat.term_counts(docs), docs), keep=("label",))
+    w = feat.tfidf(docs, feat.fit_vocabulary(docs), keep=("label",))
     nz = w.select(F.col("term").alias("feature"), (F.col("label") == 1).alias("is_synthetic"), F.col("weight").alias("value"),
                   F.lit(1).cast("bigint").alias("weight"))
     totals = docs.groupBy((F.col("label") == 1).alias("is_synthetic")).agg(F.count(F.lit(1)).alias("n_rows"))
@@ -191,7 +190,7 @@ def synthetic_quality(spark, sf):
 @query("cv_accuracy")
 def cv_accuracy(spark, sf):
     docs = labelled(spark, sf)
-    vocab = feat.vocabulary(feat.term_counts(docs), docs)
+    vocab = feat.fit_vocabulary(docs)
     data = feat.tfidf_vectors(docs, vocab, size=feat.MAX_FEATURES, keep=("label",))
     mean, spread = M.cross_validate(data, "naive_bayes")
     return spark.range(1).select(F.lit(mean).alias("cv_mean"), F.lit(spread).alias("cv_spread"))
