@@ -16,12 +16,21 @@ HEAD_LINES = 64    # physical lines kept per file, enough for quoted line breaks
 
 
 def list_files(spark: SparkSession, paths: str | list[str], pattern: str | None = None) -> DataFrame:
-    """(path, length, modified) of files; their content is not read."""
+    """(path, length, modified) of files; their content is not read.
+
+    Scans skip files of length 0, so those are added from the list of names.
+    """
     reader = spark.read.format("binaryFile")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(paths).select(F.col("_metadata.file_path").alias("path"), "length",
-                                     F.col("modificationTime").alias("modified"))
+    found = reader.load(paths)
+    filled = found.select(F.col("_metadata.file_path").alias("path"), "length", F.col("modificationTime").alias("modified"))
+    # local paths are written file:/x by scans and file:///x by the name list
+    same = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    names = spark.createDataFrame([(n,) for n in found.inputFiles()], "path string").withColumn("_k", same("path"))
+    empty = names.join(filled.select(same("path").alias("_k")), "_k", "left_anti").select(
+        "path", F.lit(0).cast("bigint").alias("length"), F.lit(None).cast("timestamp").alias("modified"))
+    return filled.unionByName(empty)
 
 
 def first_existing(spark: SparkSession, paths: list[str]) -> str | None:

@@ -18,6 +18,11 @@ from ..operators.scoring import score_messages
 from ..operators.telemetry import epoch_micros, threshold_alerts
 
 
+def _event_time(df: DataFrame, ts: str, late: str) -> DataFrame:
+    """Watermark on ``ts``, which has to be a zoned timestamp for it."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+
+
 def _start(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, *, once: bool) -> StreamingQuery:
     writer = df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -42,7 +47,7 @@ def request_stats(requests: DataFrame, *, ts: str = "ts", value: str = "seconds"
                   late: str = "1 hour") -> DataFrame:
     """Requests and mean latency per tumbling window."""
     return (
-        requests.withWatermark(ts, late).groupBy(F.window(ts, every).alias("w"))
+        _event_time(requests, ts, late).groupBy(F.window(ts, every).alias("w"))
         .agg(F.count(F.lit(1)).alias("processed"), F.sum(value).alias("total_time"))
         .select(F.col("w.start").alias("window_start"), "processed", "total_time",
                 (F.col("total_time") / F.col("processed")).alias("avg_time"))
@@ -53,7 +58,7 @@ def sliding_performance(metrics: DataFrame, *, ts: str = "ts", length: str = "1
                         late: str = "10 minutes") -> DataFrame:
     """Averages over the last hour, advanced every five minutes."""
     return (
-        metrics.withWatermark(ts, late).groupBy(F.window(ts, length, step).alias("w"))
+        _event_time(metrics, ts, late).groupBy(F.window(ts, length, step).alias("w"))
         .agg(F.avg("processing_time_ms").alias("avg_processing_time_ms"), F.avg("memory_usage_mb").alias("avg_memory_usage_mb"),
              F.avg("accuracy").alias("avg_accuracy"), F.avg("false_negative_rate").alias("avg_fnr"),
              F.sum("samples_processed").alias("total_samples_processed"), F.count(F.lit(1)).alias("operations_count"))
@@ -104,7 +109,7 @@ def rate_limit_stream(requests: DataFrame, *, limit: int = 100, window_minutes:
             state.setTimeoutTimestamp(max((taken[-1] + span) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"client": key[0], "request_id": rows["request_id"], "accepted": accepted})
 
-    keyed = requests.withWatermark(ts, late).select(
+    keyed = _event_time(requests, ts, late).select(
         F.col(client).alias("client"), F.col(request_id).alias("request_id"), ts, epoch_micros(ts).alias("at"))
     key_type = keyed.schema["client"].dataType.simpleString()
     id_type = keyed.schema["request_id"].dataType.simpleString()
@@ -139,5 +144,5 @@ def error_pattern_stream(errors: DataFrame, n: int = 100, *, ts: str = "ts", err
 
 def dedup_stream(messages: DataFrame, *, text: str = "text", ts: str = "ts", within: str = "1 day") -> DataFrame:
     """First arrival of every text; repeats within the watermark delay are dropped."""
-    keyed = messages.withWatermark(ts, within).withColumn("_h", F.xxhash64(text))
+    keyed = _event_time(messages, ts, within).withColumn("_h", F.xxhash64(text))
     return keyed.dropDuplicatesWithinWatermark(["_h", text]).drop("_h")
