@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut_lineage
 from . import features as feat
 
 
@@ -23,13 +24,12 @@ def fit_terms(weights: DataFrame, vocab: DataFrame, *, label: str = "label", alp
         F.sum(F.when(F.col(label) == 0, F.col(weight)).otherwise(0.0)).alias("s0"),
         F.sum(F.when(F.col(label) == 1, F.col(weight)).otherwise(0.0)).alias("s1"),
     )
-    grid = vocab.join(per_term, key, "left").fillna(0.0, ["s0", "s1"])
-    whole = Window.partitionBy()  # the vocabulary: at most max_features rows
-    smooth = F.lit(float(alpha))
-    size = F.count(F.lit(1)).over(whole) * smooth
+    # stored once: the totals and the table itself both come from it
+    grid = cut_lineage(vocab.join(per_term, key, "left").fillna(0.0, ["s0", "s1"]))
+    total = grid.agg(F.sum("s0").alias("s0"), F.sum("s1").alias("s1"), F.count(F.lit(1)).alias("n")).first()  # one row
 
     def theta(s: str):
-        return F.log((F.col(s) + smooth) / (F.sum(s).over(whole) + size))
+        return F.log((F.col(s) + float(alpha)) / F.lit((total[s] or 0.0) + alpha * total["n"]))
 
     return grid.select("term", "term_idx", "idf", theta("s0").alias("theta0"), theta("s1").alias("theta1"))
 

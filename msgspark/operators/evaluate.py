@@ -273,6 +273,31 @@ def improvement_verdict(deltas: DataFrame) -> DataFrame:
         .otherwise("Evaluate based on business requirements - mixed results"))
 
 
+def final_recommendations(checked: DataFrame) -> DataFrame:
+    """Closing advice from verdict and improvement columns (``effectiveness_verdict`` and
+    ``improvement_verdict``); an optional ``synthetic_valid`` column adds the sample check."""
+    ok = F.col("overall_passed")
+    synthetic = F.col("synthetic_valid") if "synthetic_valid" in checked.columns else F.lit(True)
+    rules = F.array_compact(F.array(
+        F.when(ok, "✓ Class balancing validation PASSED - recommend using balanced models in production")
+        .otherwise("✗ Class balancing validation FAILED - consider adjustments before production deployment"),
+        F.when(ok & F.col("fnr_target_met"),
+               "✓ False negative rate target achieved - excellent spam detection performance"),
+        F.when(ok & F.col("accuracy_maintained"),
+               "✓ Accuracy adequately maintained - good balance between spam detection and overall performance"),
+        F.when(~ok & ~F.col("fnr_target_met"),
+               "• FNR target not met - consider increasing target spam ratio or adjusting SMOTE parameters"),
+        F.when(~ok & ~F.col("accuracy_maintained"),
+               F.concat(F.lit("• Accuracy loss too significant ("), F.format_string("%+.3f", "accuracy_improvement"),
+                        F.lit(") - consider reducing synthetic sample ratio"))),
+        F.when(~synthetic,
+               "• Synthetic sample quality issues detected - consider adjusting k-neighbors or preprocessing"),
+        F.when(F.col("overall_improvement"), "✓ Overall performance improvement confirmed")
+        .otherwise("• Mixed performance results - evaluate based on business priorities"),
+    ))
+    return checked.withColumn("final_recommendations", rules)
+
+
 def best_pair(metrics: DataFrame, *, balanced: str = "class_balancing_enabled") -> DataFrame:
     """Most accurate unbalanced and balanced model, compared with each other."""
     w = Window.partitionBy(balanced).orderBy(F.desc("accuracy"), "model_name")

@@ -28,7 +28,8 @@ def with_zero_mass(long: DataFrame, totals: DataFrame) -> DataFrame:
     ``totals`` is (is_synthetic, n_rows), two rows.
     """
     present = long.groupBy("feature", "is_synthetic").agg(F.sum("weight").alias("_n"))
-    grid = long.select("feature").distinct().crossJoin(F.broadcast(totals))  # two rows per feature
+    both = F.explode(F.array(F.lit(True), F.lit(False))).alias("is_synthetic")
+    grid = long.select("feature").distinct().select("feature", both).join(totals, "is_synthetic")
     zero = grid.join(present, ["feature", "is_synthetic"], "left").select(
         "feature", "is_synthetic", F.lit(0.0).alias("value"),
         (F.col("n_rows") - F.coalesce("_n", F.lit(0))).cast("bigint").alias("weight"))

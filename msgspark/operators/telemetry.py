@@ -96,7 +96,8 @@ def trends(metrics: DataFrame, *, ts: str = "ts", tie: str = "metric_id", period
     The arrival order is a distributed rank; the least-squares sums combine on the map side.
     """
     period = F.lit("all") if period is None else period
-    ranked = global_rank(metrics.withColumn("period", period), order_by=[ts, tie], partition_by=["period"], name="x")
+    needed = metrics.select(period.alias("period"), ts, tie, *TREND_METRICS.values())
+    ranked = global_rank(needed, order_by=[ts, tie], partition_by=["period"], name="x")
     pairs = F.array(*[F.struct(F.lit(k).alias("metric"), F.col(c).cast("double").alias("y"))
                       for k, c in TREND_METRICS.items()])
     long = ranked.select("period", F.col("x").cast("double").alias("x"), F.explode(pairs).alias("p")).select(

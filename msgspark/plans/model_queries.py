@@ -186,6 +186,20 @@ def improvement_verdict(spark, sf):
         "overall_improvement", "recommendation")
 
 
+@query("final_recommendations", f"""WITH {d.DELTAS}, f AS (SELECT *, balanced_false_negative_rate <= 0.05 AS met, balanced_accuracy / original_accuracy >= 0.95 AS kept,
+  fnr_reduction > 0.01 AND accuracy_improvement >= -0.02 AND fpr_change <= 0.05 AS better FROM deltas)
+SELECT model_name, concat_ws(' | ', CASE WHEN met AND kept THEN '✓ Class balancing validation PASSED - recommend using balanced models in production'
+    ELSE '✗ Class balancing validation FAILED - consider adjustments before production deployment' END,
+  CASE WHEN met AND kept THEN '✓ False negative rate target achieved - excellent spam detection performance' END,
+  CASE WHEN met AND kept THEN '✓ Accuracy adequately maintained - good balance between spam detection and overall performance' END,
+  CASE WHEN NOT met THEN '• FNR target not met - consider increasing target spam ratio or adjusting SMOTE parameters' END,
+  CASE WHEN NOT kept THEN '• Accuracy loss too significant (' || printf('%+.3f', accuracy_improvement) || ') - consider reducing synthetic sample ratio' END,
+  CASE WHEN better THEN '✓ Overall performance improvement confirmed' ELSE '• Mixed performance results - evaluate based on business priorities' END) AS recommendations FROM f""")
+def final_recommendations(spark, sf):
+    x = ev.final_recommendations(ev.improvement_verdict(ev.effectiveness_verdict(d.before_after(spark, sf))))
+    return x.select("model_name", F.array_join("final_recommendations", " | ").alias("recommendations"))
+
+
 @query("balancing_recommendations", f"""WITH {d.DELTAS}, t AS (SELECT count(*) AS original_samples FROM events),
  s AS (SELECT count(*) AS synthetic_samples FROM events WHERE value > 30)
 SELECT model_name, concat_ws(' | ',

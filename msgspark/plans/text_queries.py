@@ -315,6 +315,14 @@ def tfidf_transform(spark, sf):
         F.count(u).alias("nnz"), F.round(F.coalesce(F.sqrt(F.sum(u * u)), F.lit(0.0)), 5).alias("norm"))
 
 
+@query("tfidf_arrays", f"WITH {o.tfidf_ctes(ALL_DOCS)} SELECT row_id, term_idx, round(weight, 6) AS weight FROM weights")
+def tfidf_arrays(spark, sf):
+    docs = messages(spark, sf)
+    arrays = feat.tfidf_arrays(docs, feat.fit_vocabulary(docs))
+    w = feat.long_weights(arrays)
+    return w.select("row_id", F.col("term_idx").cast("bigint").alias("term_idx"), F.round("weight", 6).alias("weight"))
+
+
 @query("tfidf_vectors", None)
 def tfidf_vectors(spark, sf):
     docs = messages(spark, sf)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import bayes, features as feat, models as M, neighbors as N, quality as Q, smote as sm
 from . import oracle_text as o
+from .model_queries import split_sql
 from .registry import query, table
 from .text_queries import labelled
 from .training import prepare, train
@@ -204,7 +205,15 @@ def train_models(spark, sf):
 
 
 
-@query("nb_holdout")
+PART = f"WITH {split_sql(o.LABELLED)} SELECT row_id, text, label, r <= n_test AS is_test, r > n_test + kept - n_train AS is_train FROM ranked JOIN quota USING (label)"
+
+
+@query("nb_holdout", f"""WITH {o.tfidf_ctes(f"SELECT row_id, text, label FROM ({PART}) WHERE is_train")}, {o.NB_CTES},
+ {o.nb_score_ctes(f"SELECT row_id, text FROM ({PART}) WHERE is_test")},
+ e AS (SELECT s.prediction, l.toxic AS label FROM scored s JOIN labels l ON l.doc_id = s.row_id)
+SELECT count(*) FILTER (label = 0 AND prediction = 0) AS tn, count(*) FILTER (label = 0 AND prediction = 1) AS fp,
+  count(*) FILTER (label = 1 AND prediction = 0) AS fn, count(*) FILTER (label = 1 AND prediction = 1) AS tp,
+  count(*) AS test_samples, round(avg(CASE WHEN label = prediction THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy FROM e""")
 def nb_holdout(spark, sf):
     """Relational naive Bayes learned on the training split, scored on the test split."""
     from ..operators import evaluate as ev
@@ -212,4 +221,5 @@ def nb_holdout(spark, sf):
     rows = prepare(labelled(spark, sf))
     terms, priors = bayes.fit(rows.filter("split = 'train'"))
     scored = bayes.score(rows.filter("split = 'test'"), terms, priors, keep=("label",))
-    return ev.evaluate_models(scored.withColumn("model_name", F.lit("naive_bayes")))
+    m = ev.evaluate_models(scored.withColumn("model_name", F.lit("naive_bayes")))
+    return m.select("tn", "fp", "fn", "tp", "test_samples", *r6("accuracy"))
