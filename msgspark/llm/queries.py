@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality_rules
+from . import quality_rules, sharding, token_file
 from .storage import documents, spread
 
 QUERIES: dict = {}
@@ -55,3 +56,17 @@ base as (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        not base_failed and {_rules_sql()} as kept, n_lines, n_stop_words from base
 """
+
+
+@query
+def op4_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(spread(documents(spark, sf_dir)), 8).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op3_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_file.new_path(spark)
+    token_file.write_files(spread(documents(spark, sf_dir)), path, public_tokenizers.path("word_bpe_49k.json"), 2, 49_408)
+    return token_file.digests(spark, path)
