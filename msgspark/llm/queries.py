@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality_rules, sharding, token_file
+from . import quality_rules, sharding, suffix_dedup, token_file
 from .storage import documents, spread
 
 QUERIES: dict = {}
@@ -70,3 +70,35 @@ def op3_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_file.new_path(spark)
     token_file.write_files(spread(documents(spark, sf_dir)), path, public_tokenizers.path("word_bpe_49k.json"), 2, 49_408)
     return token_file.digests(spark, path)
+
+
+@query
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(spread(documents(spark, sf_dir))).drop("kept")
+
+
+ORACLES["op1_suffix_array_dedup"] = """
+with texts as (
+  select doc_id, hex(encode(coalesce(text, ''))) as hx, octet_length(encode(coalesce(text, ''))) as n_bytes from documents),
+windows as (
+  select doc_id, hx, n_bytes, unnest(range(0, greatest(0, n_bytes - 99))) as i from texts),
+again as (
+  select doc_id, i from (
+    select doc_id, i, row_number() over (partition by md5(substr(hx, 2 * i + 1, 200)) order by doc_id, i) as k from windows)
+  where k > 1),
+steps as (
+  select doc_id, i, lag(i) over w as before, lead(i) over w as after from again window w as (partition by doc_id order by i)),
+removed as (
+  select doc_id, sum(least(100, coalesce(after - i, 100)))::bigint as n_removed,
+         sum(case when before is null or i - before > 100 then 1 else 0 end)::bigint as n_spans from steps group by doc_id),
+pieces as (
+  select s.doc_id, s.i as at, substr(hx, 2 * coalesce(before + 100, 0) + 1, 2 * greatest(0, i - coalesce(before + 100, 0))) as x
+  from steps s join texts t on s.doc_id = t.doc_id
+  union all
+  select s.doc_id, s.i + 1000000000, substr(hx, 2 * (i + 100) + 1) from steps s join texts t on s.doc_id = t.doc_id
+  where after is null),
+kept as (select doc_id, string_agg(x, '' order by at) as x from pieces group by doc_id)
+select t.doc_id, n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+       sha256(unhex(coalesce(k.x, t.hx))) as kept_sha256
+from texts t left join removed r on t.doc_id = r.doc_id left join kept k on t.doc_id = k.doc_id
+"""

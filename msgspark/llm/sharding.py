@@ -3,8 +3,8 @@
 A record's key is (hash of its text, doc_id), so equal texts are neighbours in key order. A size-weighted
 sample of keys gives quantile boundaries; the exact bytes of each range are then summed, ranges
 that came out overfull are sampled and cut again, and the ranges go to the shards, largest first, each to the
-shard with the fewest bytes. Boundaries lie between texts, so equal texts share a shard; only a
-text whose copies hold more than a whole shard's share is cut, by doc_id.
+shard with the fewest bytes. Boundaries lie between texts; the copies of a hot text are cut by doc_id into
+several ranges, which stay together in one shard unless they hold more than a whole shard's share.
 
 Defined results: a null text has no bytes (size 1, checksum 0). Empty texts likewise. Repeated rows are kept,
 each with its own slot. A null doc_id sorts first. An empty table gives an empty table. The input's
@@ -100,7 +100,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, text_col: str = "text", id_co
         sums = placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"),
                                            F.min("h").alias("low"), F.max("h").alias("high")).collect()
         by_text = {s.range: s for s in sums if s.bytes > full and s.low < s.high}
-        by_id = {s.range: s for s in sums if s.bytes > share and s.low == s.high}
+        by_id = {s.range: s for s in sums if s.bytes > full and s.low == s.high}
         more: set[tuple[int, int]] = set()
         for some, cut_ids in ((by_text, False), (by_id, True)):
             if not some:
@@ -115,9 +115,17 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, text_col: str = "text", id_co
             break
         keys |= more
     loads, shard_of, at = [0] * n_shards, {}, [0] * n_shards
-    for s in sorted(sums, key=lambda s: (-s.bytes, s.range)):
-        shard_of[s.range] = k = loads.index(min(loads))
-        loads[k] += s.bytes
+    copies: dict[int, list] = {}
+    for s in sums:
+        if s.low == s.high:
+            copies.setdefault(s.low, []).append(s)
+    together = [c for c in copies.values() if sum(s.bytes for s in c) <= share]
+    whole = {s.range for c in together for s in c}
+    bundles = together + [[s] for s in sums if s.range not in whole]
+    for size, _, bundle in sorted((-sum(s.bytes for s in b), b[0].range, b) for b in bundles):
+        k = loads.index(min(loads))
+        loads[k] -= size
+        shard_of |= {s.range: k for s in bundle}
     units = []
     for s in sorted(sums, key=lambda s: s.range):
         k = shard_of[s.range]
