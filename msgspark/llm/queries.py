@@ -92,12 +92,12 @@ removed as (
   select doc_id, sum(least(100, coalesce(after - i, 100)))::bigint as n_removed,
          sum(case when before is null or i - before > 100 then 1 else 0 end)::bigint as n_spans from steps group by doc_id),
 pieces as (
-  select s.doc_id, s.i as at, substr(hx, 2 * coalesce(before + 100, 0) + 1, 2 * greatest(0, i - coalesce(before + 100, 0))) as x
+  select s.doc_id, s.i as k, substr(hx, 2 * coalesce(before + 100, 0) + 1, 2 * greatest(0, i - coalesce(before + 100, 0))) as x
   from steps s join texts t on s.doc_id = t.doc_id
   union all
   select s.doc_id, s.i + 1000000000, substr(hx, 2 * (i + 100) + 1) from steps s join texts t on s.doc_id = t.doc_id
   where after is null),
-kept as (select doc_id, string_agg(x, '' order by at) as x from pieces group by doc_id)
+kept as (select doc_id, string_agg(x, '' order by k) as x from pieces group by doc_id)
 select t.doc_id, n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
        sha256(unhex(coalesce(k.x, t.hx))) as kept_sha256
 from texts t left join removed r on t.doc_id = r.doc_id left join kept k on t.doc_id = k.doc_id
