@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality_rules, sharding, suffix_dedup, token_file
+from . import fm_dedup, quality_rules, sharding, suffix_dedup, token_file
 from .storage import documents, spread
 
 QUERIES: dict = {}
@@ -80,11 +80,14 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op1_suffix_array_dedup"] = """
 with texts as (
   select doc_id, hex(encode(coalesce(text, ''))) as hx, octet_length(encode(coalesce(text, ''))) as n_bytes from documents),
+parts as (
+  select doc_id, j, substr(hx, 200 * j + 1, 398) as c from (
+    select doc_id, hx, unnest(range(0, (greatest(0, n_bytes - 99) + 99) // 100)) as j from texts)),
 windows as (
-  select doc_id, hx, n_bytes, unnest(range(0, greatest(0, n_bytes - 99))) as i from texts),
+  select doc_id, 100 * j + k as i, md5(substr(c, 2 * k + 1, 200)) as w from (
+    select doc_id, j, c, unnest(range(0, length(c) // 2 - 99)) as k from parts)),
 again as (
-  select doc_id, i from (
-    select doc_id, i, row_number() over (partition by md5(substr(hx, 2 * i + 1, 200)) order by doc_id, i) as k from windows)
+  select doc_id, i from (select doc_id, i, row_number() over (partition by w order by doc_id, i) as k from windows)
   where k > 1),
 steps as (
   select doc_id, i, lag(i) over w as before, lead(i) over w as after from again window w as (partition by doc_id order by i)),
@@ -102,3 +105,26 @@ select t.doc_id, n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans,
        sha256(unhex(coalesce(k.x, t.hx))) as kept_sha256
 from texts t left join removed r on t.doc_id = r.doc_id left join kept k on t.doc_id = k.doc_id
 """
+
+
+@query
+def op6_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_dedup.remove_repeats(spread(documents(spark, sf_dir))).drop("kept_text")
+
+
+ORACLES["op6_fm_index_dedup"] = r"""
+with texts as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+windows as (
+  select doc_id, i, md5(array_to_string(words[i:i + 12], ' ')) as w
+  from (select doc_id, words, unnest(range(1, greatest(1, len(words) - 11))) as i from texts)),
+again as (
+  select doc_id, i from (select doc_id, i, min(doc_id) over (partition by w) as d from windows) where d < doc_id),
+gone as (select distinct doc_id, i + k as i from (select doc_id, i, unnest(range(0, 13)) as k from again)),
+words as (select doc_id, words[i] as w, i from (select doc_id, words, unnest(range(1, len(words) + 1)) as i from texts)),
+kept as (
+  select w.doc_id, string_agg(w.w, ' ' order by w.i) as x, count(*) as n
+  from words w anti join gone g on w.doc_id = g.doc_id and w.i = g.i group by w.doc_id)
+select t.doc_id, len(words)::bigint as n_words, len(words) - coalesce(n, 0) as n_removed, sha256(coalesce(x, '')) as kept_sha256
+from texts t left join kept k on t.doc_id = k.doc_id
+"""
