@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fm_dedup, quality_rules, sharding, suffix_dedup, token_file
+from . import fm_dedup, jaccard_join, quality_rules, sharding, suffix_dedup, token_file
 from .storage import documents, spread
 
 QUERIES: dict = {}
@@ -128,3 +128,8 @@ kept as (
 select t.doc_id, len(words)::bigint as n_words, len(words) - coalesce(n, 0) as n_removed, sha256(coalesce(x, '')) as kept_sha256
 from texts t left join kept k on t.doc_id = k.doc_id
 """
+
+
+@query
+def op2_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_components(spread(documents(spark, sf_dir)))
