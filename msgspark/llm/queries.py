@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fm_dedup, jaccard_join, quality_rules, sharding, suffix_dedup, token_file
+from . import byte_cnn, fm_dedup, jaccard_join, quality_rules, rp_forest, sharding, suffix_dedup, token_file
 from .storage import documents, spread
 
 QUERIES: dict = {}
@@ -133,3 +133,15 @@ from texts t left join kept k on t.doc_id = k.doc_id
 @query
 def op2_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_components(spread(documents(spark, sf_dir)))
+
+
+@query
+def op8_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return rp_forest.nearest(vectors, F.pmod("id", F.lit(20)) == 0)
+
+
+@query
+def op9_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(documents(spark, sf_dir))
+    return byte_cnn.score(docs, byte_cnn.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
