@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_cnn, fm_dedup, jaccard_join, quality_rules, rp_forest, sharding, suffix_dedup, token_file
+from . import byte_cnn, fm_dedup, jaccard_join, mixing, quality_rules, rp_forest, sharding, suffix_dedup, token_file
 from .storage import documents, spread
 
 QUERIES: dict = {}
@@ -145,3 +145,13 @@ def op8_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(documents(spark, sf_dir))
     return byte_cnn.score(docs, byte_cnn.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@query
+def op7_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of the whole table, as often as a budget of the corpus's own size uses it."""
+    docs = spread(documents(spark, sf_dir)).select("doc_id", "source", "text")
+    budget = docs.agg(F.coalesce(F.sum(mixing.n_words("text")), F.lit(0))).first()[0]
+    return mixing.mix(docs, budget=budget).select(
+        F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "n_words",
+        F.col("epoch").cast("int").alias("epoch"), F.col("block").cast("int").alias("block"))
