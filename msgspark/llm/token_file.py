@@ -12,6 +12,7 @@ each. A text of any length stays whole in one block. An empty table gives no blo
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,13 +28,17 @@ from .huffman import Decoder, canonical_codes, code_lengths, encode_block
 from .storage import shared_folder, written
 
 IDS_PER_BLOCK = 1 << 16
-CACHED_WORDS = 300_000
+SLICE_BYTES = 3 << 20
+CACHED_UNITS = 500_000
+WORD_AND_TAIL = "^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[.,;:!?#$%&*]*)$"
+PLAIN = re.compile("[a-zà-öø-ÿ]+|[.,;:!?#$%&*]+")
 
 
 class WordEncoder:
-    """Ids of texts through the tokenizer library; each distinct white-space-free run is encoded once.
+    """Ids of texts through the tokenizer library; each distinct unit is encoded once while it is held.
 
-    The vocabulary drops white space and never joins across it, so a text's ids are those of its runs.
+    The vocabulary lower-cases, drops white space and never joins across it, nor letters with punctuation. So the units are
+    runs between white space, plain words in lower case apart from the punctuation behind them.
     """
 
     def __init__(self, spec: str):
@@ -41,60 +46,102 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.clear()
-
-    def clear(self) -> None:
         self.at: dict[str, int] = {"": 0}
-        self.first, self.length, self.ids, self.n = [0], [0], [np.zeros(0, np.uint32)], 0
-
-    def words(self, words: list[str]) -> np.ndarray:
-        new = [w for w in words if w not in self.at]
-        if len(self.at) + len(new) > CACHED_WORDS and len(self.at) > 1:
-            self.clear()
-            new = [w for w in words if w not in self.at]
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.at[w] = len(self.first)
-            self.first.append(self.n)
-            self.length.append(len(e.ids))
-            self.ids.append(np.array(e.ids, np.uint32))
-            self.n += len(e.ids)
+        self.kept = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.ids, self.length = self.kept
+        pieces = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(pieces.values()) + 1, bool)
+        self.ends_word[[i for piece, i in pieces.items() if piece.endswith("</w>")]] = True
+
+    def _library(self, units: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The units in another order, all their ids, and how many each has.
+
+        Plain units are one word of the vocabulary's own splitting each, so all go in one call as a text of
+        their own, and the ids with an end-of-word mark tell them apart.
+        """
+        plain, odd = [], []
+        for u in units:
+            (plain if PLAIN.fullmatch(u) else odd).append(u)
+        found = self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0]
+        ids = np.array(found.ids, np.uint32)
+        ends = np.flatnonzero(self.ends_word[ids])
+        if len(ends) != len(plain):
+            odd, plain, ids, ends = units, [], ids[:0], ends[:0]
+        single = [e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+        counts = np.r_[np.diff(np.r_[-1, ends]), np.array([len(x) for x in single], np.int64)]
+        return plain + odd, np.concatenate([ids, *[np.array(x, np.uint32) for x in single]]), counts
+
+    def units(self, units: list[str]) -> np.ndarray:
+        """Places of the units among ``length``. What doesn't fit the cache is held for these units only."""
+        self.ids, self.length = self.kept
+        new = [u for u in units if u not in self.at]
         if new:
-            self.ids = [np.concatenate(self.ids)]
-        return np.fromiter((self.at[w] for w in words), np.int64, len(words))
+            new, ids, counts = self._library(new)
+            places = range(len(self.length), len(self.length) + len(new))
+            self.ids, self.length = np.concatenate([self.ids, ids]), np.concatenate([self.length, counts])
+            if len(self.at) + len(new) <= CACHED_UNITS:
+                self.kept = self.ids, self.length
+                self.at.update(zip(new, places, strict=True))
+            else:
+                held = dict(zip(new, places, strict=True))
+                return np.fromiter((self.at[u] if u in self.at else held[u] for u in units), np.int64, len(units))
+        return np.fromiter(map(self.at.__getitem__, units), np.int64, len(units))
 
     def texts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end ids, and the number of ids of each text."""
         runs = pc.ascii_split_whitespace(texts.fill_null(""))
         per_text = np.diff(runs.offsets.to_numpy(zero_copy_only=False)).astype(np.int64)
         coded = runs.flatten().dictionary_encode()
-        known = self.words(coded.dictionary.to_pylist())
-        ids, first, length = self.ids[0], np.array(self.first), np.array(self.length)
-        word = known[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
-        size = length[word]
+        split = pc.extract_regex(coded.dictionary, WORD_AND_TAIL)
+        plain = split.is_valid()
+        pair = pa.concat_arrays([
+            pc.if_else(plain, pc.utf8_lower(split.field(0)), coded.dictionary),
+            pc.if_else(plain, split.field(1), pa.scalar("", coded.dictionary.type))]).dictionary_encode()
+        unit = self.units(pair.dictionary.to_pylist())[pair.indices.to_numpy(zero_copy_only=False)]
+        unit = unit.reshape(2, -1).T[coded.indices.to_numpy(zero_copy_only=False)].reshape(-1)
+        size = self.length[unit]
         before = np.r_[0, np.cumsum(size)]
-        ends = before[np.cumsum(per_text)]
+        ends = before[2 * np.cumsum(per_text)]
         counts = np.diff(np.r_[0, ends]) + 1
         out = np.empty(len(texts) + before[-1], np.uint32)
         stop = np.cumsum(counts) - 1
         out[stop] = end_id
         inner = np.ones(len(out), bool)
         inner[stop] = False
-        out[inner] = ids[spans(first[word], size)]
+        first = np.cumsum(self.length) - self.length
+        out[inner] = self.ids[spans(first[unit], size)]
         return out, counts
 
 
-def encode(docs: DataFrame, tokenizer_file: str, end_id: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, ids): the ids of each text as little-endian 32-bit numbers."""
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(spec: str) -> WordEncoder:
+    """One encoder for all tasks of a worker, so that what it holds goes on."""
+    if spec not in _encoders:
+        _encoders.clear()
+        _encoders[spec] = WordEncoder(spec)
+    return _encoders[spec]
+
+
+def width(n_ids: int) -> str:
+    """Little-endian numbers that hold every id of the vocabulary."""
+    return "<u2" if n_ids <= 1 << 16 else "<u4"
+
+
+def encode(docs: DataFrame, tokenizer_file: str, end_id: int, n_ids: int, text_col: str = "text",
+           id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, ids): the ids of each text as numbers of ``width(n_ids)``."""
     with open(tokenizer_file, encoding="utf-8") as f:
         spec = f.read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(spec)
+        encoder = encoder_of(spec)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE_BYTES):
                 ids, counts = encoder.texts(part.column("text"), end_id)
                 ends = np.cumsum(counts)
-                data = ids.astype("<u4")
+                data = ids.astype(width(n_ids))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(
                     [data[b - n: b].tobytes() for b, n in zip(ends, counts, strict=True)], pa.binary())], ["doc_id", "ids"])
 
@@ -108,7 +155,7 @@ def id_counts(coded: DataFrame, n_ids: int) -> np.ndarray:
         counts = np.zeros(n_ids, np.int64)
         for batch in batches:
             for part in slices(batch, "ids"):
-                counts += np.bincount(np.frombuffer(b"".join(part.column("ids").to_pylist()), "<u4"), minlength=n_ids)
+                counts += np.bincount(np.frombuffer(b"".join(part.column("ids").to_pylist()), width(n_ids)), minlength=n_ids)
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["id", "n"])
 
@@ -124,7 +171,7 @@ BLOCKS = "part int, block int, n_ids long, doc_ids binary, null_ids binary, size
 def write_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, n_ids: int, max_bits: int = 18) -> None:
     """Encode ``docs`` and write the file set to ``path`` in ascending doc_id order."""
     spark = docs.sparkSession
-    coded = written(encode(docs, tokenizer_file, end_id), "ids")
+    coded = written(encode(docs, tokenizer_file, end_id, n_ids), "ids")
     lengths = code_lengths(id_counts(coded, n_ids), max_bits)
     codes = canonical_codes(lengths)
 
@@ -132,7 +179,7 @@ def write_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, n_
         part, block, held, n = TaskContext.get().partitionId(), 0, [], 0
 
         def flush() -> pa.RecordBatch:
-            docs, texts = [d for d, _ in held], [np.frombuffer(x, "<u4") for _, x in held]
+            docs, texts = [d for d, _ in held], [np.frombuffer(x, width(n_ids)) for _, x in held]
             ids = np.concatenate(texts)
             row = {"part": part, "block": block, "n_ids": len(ids),
                    "doc_ids": np.array([d or 0 for d in docs], "<i8").tobytes(),
@@ -144,7 +191,7 @@ def write_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, n_
         for batch in batches:
             for d, x in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
                 held.append((d, x.as_py()))
-                n += len(held[-1][1]) // 4
+                n += len(held[-1][1]) // np.dtype(width(n_ids)).itemsize
                 if n >= IDS_PER_BLOCK:
                     yield flush()
                     block, n = block + 1, 0
