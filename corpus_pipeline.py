@@ -1,25 +1,58 @@
-"""A corpus from raw documents: filter, keep one of each group of near copies, cut repeats, mix, tokenise."""
+"""A corpus from raw documents: filter, keep one of each group of near copies, cut repeats, mix, tokenise.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. The first four return the
+columns of documents; the last returns one row for each document of the mixture with its pieces.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from msgspark.llm import quality_rules
+from msgspark.llm import fm_dedup, jaccard_join, mixing, piece_nbest, quality_rules
+from msgspark.llm.storage import documents, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules."""
     return quality_rules.keep_good(docs)
 
 
-STAGES = [("quality rules", keep_quality)]
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return jaccard_join.keep_one(docs, size=5, percent=80)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the word windows that an earlier document has; n_chars follows the text."""
+    kept = fm_dedup.cut_repeats(docs)
+    length = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return kept.withColumn("n_chars", length) if "n_chars" in docs.columns else kept
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture uses them, each at least once; no source more than twice."""
+    return mixing.mixture(docs)
 
-ORACLE_SQL = None
+
+def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of each text: their ids, the scores of the n best segmentations, and whether they decode to the text."""
+    return piece_nbest.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality rules", keep_quality),
+    ("n-gram jaccard join", keep_one_of_each),
+    ("substring dedup", cut_repeats),
+    ("temperature mixing", mix_sources),
+    ("pieces", to_pieces),
+]
+
+ORACLE_SQL = None  # the mixture's hash order and the segmentation search have no SQL form
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again by the next."""
-    from msgspark.llm.storage import documents, written
-
     docs = documents(spark, sf_dir)
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_cnn, fm_dedup, jaccard_join, mixing, quality_rules, rp_forest, sharding, suffix_dedup, token_file
+from . import byte_cnn, fm_dedup, jaccard_join, mixing, piece_nbest, quality_rules, rp_forest, sharding, suffix_dedup, token_file
 from .storage import documents, spread
 
 QUERIES: dict = {}
@@ -155,3 +155,8 @@ def op7_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, budget=budget).select(
         F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "n_words",
         F.col("epoch").cast("int").alias("epoch"), F.col("block").cast("int").alias("block"))
+
+
+@query
+def op5_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_nbest.encode(spread(documents(spark, sf_dir)), public_tokenizers.path("piece_bpe_32k.model")).drop("ids")
