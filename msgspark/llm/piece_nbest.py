@@ -37,7 +37,9 @@ UNITS = re.compile(rf" *[{LETTER}]+(?=[ \n{POINT}]|$)| *[{POINT}]+(?=[ \n{LETTER
 COARSE = re.compile(r"\n| *[^ \n]+| +")
 CACHED_UNITS = 300_000
 SLICE_BYTES = 2 << 20
-ALONE = np.array([np.inf]).tobytes()  # the loss of a unit without another segmentation
+SCALE = 1 << 20  # scores are whole numbers of 2^-20, so that sums and ties are exact
+NEVER = np.iinfo(np.int64).max
+ALONE = np.array([NEVER]).tobytes()  # the loss of a unit without another segmentation
 
 
 class Pieces:
@@ -51,7 +53,7 @@ class Pieces:
         self.n, self.spelling = n, {}
         names = [sp.id_to_piece(i) for i in range(size)]
         zipf = log(sum(1 / (r + 2.7) for r in range(size)))
-        self.score: dict[str, tuple[int, float]] = {}
+        self.score: dict[str, tuple[int, int]] = {}
         self.raw = [b""] * size
         rank = 0
         for i, name in enumerate(names):
@@ -60,9 +62,9 @@ class Pieces:
                 self.spelling[self.raw[i][0]] = i
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.raw[i] = name.replace(SPACE, " ").encode()
-                self.score[name] = (i, -log(rank + 2.7) - zipf)
+                self.score[name] = (i, -round(SCALE * (log(rank + 2.7) + zipf)))
                 rank += 1
-        self.byte_score = -log(size + 2.7) - zipf
+        self.byte_score = -round(SCALE * (log(size + 2.7) + zipf))
         self.longest = max(map(len, self.score))
         bare = [name.replace(SPACE, "") for name in self.score]
         near = re.compile(rf"[{LETTER}][{POINT}]|[{POINT}][{LETTER}]")
@@ -76,15 +78,15 @@ class Pieces:
         self.at: dict[str, int] = {}
         self.ids: list[bytes] = []
         self.losses: list[bytes] = []
-        self.best: list[float] = []
+        self.best: list[int] = []
 
-    def segment(self, unit: str, n: int) -> list[tuple[float, list[int]]]:
+    def segment(self, unit: str, n: int) -> list[tuple[int, list[int]]]:
         """The n best segmentations of a unit, best first."""
         s = unit.replace(SPACE, LITERAL).replace(" ", SPACE)
         get, longest, size = self.score.get, self.longest, len(s)
-        best, edges = [0.0] + [-1e300] * size, [()] * (size + 1)
+        best, edges = [0] + [-NEVER] * size, [()] * (size + 1)
         for j in range(1, size + 1):
-            own, top = [], -1e300
+            own, top = [], -NEVER
             for i in range(max(0, j - longest), j):
                 found = get(s[i:j])
                 if found is not None:
@@ -95,18 +97,19 @@ class Pieces:
                 own.append((j - 1, self.byte_score * len(spelt), spelt))
                 top = max(top, best[j - 1] + own[-1][1])
             best[j], edges[j] = top, own
-        queue, found, ties = [(-best[size], 0, size, 0.0, None)], [], 1
+        # among equal scores the path nearest to its end goes first, or ties would grow without end
+        queue, found, ties = [(-best[size], size, 0, 0, None)], [], 1
         while queue and len(found) < n:
-            total, _, j, behind, path = heapq.heappop(queue)
+            _, j, _, behind, path = heapq.heappop(queue)
             if not j:
                 ids = []
                 while path is not None:
                     ids.extend(path[0])
                     path = path[1]
-                found.append((-total, ids))
+                found.append((behind, ids))
                 continue
             for i, score, own in edges[j]:
-                heapq.heappush(queue, (-(behind + score + best[i]), ties, i, behind + score, (own, path)))
+                heapq.heappush(queue, (-(behind + score + best[i]), i, ties, behind + score, (own, path)))
                 ties += 1
         return found
 
@@ -124,14 +127,14 @@ class Pieces:
                 found = self.segment(u, self.n)
                 self.ids.append(np.array(found[0][1], "<u4").tobytes())
                 self.best.append(found[0][0])
-                self.losses.append(np.array([found[0][0] - score for score, _ in found[1:]], "<f8").tobytes())
+                self.losses.append(np.array([found[0][0] - score for score, _ in found[1:]], "<i8").tobytes())
             out[k] = p
         return out
 
-    def variants(self, losses: list[list[float]]) -> list[tuple[float, tuple]]:
+    def variants(self, losses: list[list[int]]) -> list[tuple[int, tuple]]:
         """The n least total losses over texts' units, and the choice each makes: ((unit, segmentation), ...)."""
         first = sorted((x[0], k) for k, x in enumerate(losses) if x)[: self.n - 1]
-        kept: list[tuple[float, tuple]] = [(0.0, ())]
+        kept: list[tuple[int, tuple]] = [(0, ())]
         for k in sorted(k for _, k in first):
             more = [(a + b, c + ((k, m + 1),)) for a, c in kept for m, b in enumerate(losses[k])]
             kept = sorted(kept + more)[: self.n]
@@ -147,12 +150,12 @@ class Pieces:
         flat = np.frombuffer(b"".join(self.ids[p] for p in used), "<u4").astype(np.int64)
         count = np.array([len(self.ids[p]) // 4 for p in used], np.int64)
         start = np.cumsum(count) - count
-        least = np.frombuffer(b"".join((self.losses[p] or ALONE)[:8] for p in used), "<f8")
-        score = np.array([self.best[p] for p in used])
+        least = np.frombuffer(b"".join((self.losses[p] or ALONE)[:8] for p in used), "<i8")
+        score = np.array([self.best[p] for p in used], np.int64)
         place = {u: local[p] for u, p in place.items()}
         for units in split:
             own = np.fromiter(map(place.__getitem__, units), np.int64, len(units))
-            total = float(score[own].sum()) if len(own) else 0.0
+            total = int(score[own].sum()) if len(own) else 0
             ids = flat[spans(start[own], count[own])] if len(own) else np.zeros(0, np.int64)
             loss = least[own] if len(own) else least[:0]
             if len(loss) >= self.n:
@@ -160,15 +163,15 @@ class Pieces:
             else:
                 some = np.arange(len(loss))
             some = some[np.argsort(loss[some], kind="stable")][: self.n - 1]
-            some = np.sort(some[np.isfinite(loss[some])])
+            some = np.sort(some[loss[some] < NEVER])
             found, before = [], np.r_[0, np.cumsum(count[own])] if len(own) else np.zeros(1, np.int64)
-            for lost, choice in self.variants([np.frombuffer(self.losses[used[own[k]]], "<f8").tolist() for k in some]):
+            for lost, choice in self.variants([np.frombuffer(self.losses[used[own[k]]], "<i8").tolist() for k in some]):
                 parts, at = [], 0
                 for k, m in choice:
                     k = int(some[k])
                     parts += [ids[at: before[k]], np.array(self.segment(units[k], m + 1)[m][1], np.int64)]
                     at = before[k + 1]
-                found.append((total - lost, np.concatenate([*parts, ids[at:]])))
+                found.append(((total - lost) / SCALE, np.concatenate([*parts, ids[at:]])))
             yield found
 
     def decode(self, ids: np.ndarray) -> bytes:
