@@ -26,7 +26,7 @@ from .anchors import Scheme
 from .suffix_dedup import prefix_ranks
 
 K = 6
-HOT_CONTEXTS = 2048
+HOT_CONTEXTS = 8192
 
 
 class WaveletMatrix:

@@ -23,24 +23,27 @@ from . import anchors
 from .anchors import Scheme
 
 K = 32
-HOT_CONTEXTS = 2048
+HOT_CONTEXTS = 8192  # about 1.4 MB of symbols, the most that one task holds of one anchor
 
 
 def ranks(codes: np.ndarray) -> np.ndarray:
     order = np.argsort(codes)
     ordered = codes[order]
-    out = np.empty(len(codes), np.int64)
+    out = np.empty(len(codes), np.int32)
     out[order] = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
     return out
 
 
+def paired(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return first.astype(np.int64) * (int(second.max(initial=0)) + 1) + second
+
+
 def prefix_ranks(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Rank of the ``depth`` symbols from each position on; the last depth - 1 positions have none."""
     rank, size = ranks(symbols), 1
     while size < depth:
         step = min(size, depth - size)
-        low = rank[: len(rank) - step]
-        rank, size = ranks(low * (int(rank.max(initial=0)) + 1) + rank[step:]), size + step
+        rank, size = ranks(paired(rank[: len(rank) - step], rank[step:])), size + step
     return rank
 
 
@@ -73,8 +76,7 @@ def longest_previous(symbols: np.ndarray, starts: np.ndarray, age: np.ndarray, l
         levels.insert(0, (size, rank))
         if 2 * size > limit:
             break
-        low = rank[: len(rank) - size]
-        rank, size = ranks(low * (int(rank.max(initial=0)) + 1) + rank[size:]), 2 * size
+        rank, size = ranks(paired(rank[: len(rank) - size], rank[size:])), 2 * size
     tail = rank[starts + limit - size]
     suffix = np.lexsort((tail, rank[starts]))  # the order of the suffixes by their first ``limit`` symbols
     at, old = starts[suffix], age[suffix]
@@ -99,7 +101,7 @@ def kernel_for(length: int):
         new = np.r_[False, (keys[context[order]][1:] != keys[context[order]][:-1]) | (place[order][1:] != place[order][:-1])]
         age = np.empty(len(order), np.int64)
         age[order] = np.cumsum(new)
-        hit = longest_previous(symbols.astype(np.int64), starts, age, length) >= length
+        hit = longest_previous(symbols, starts, age, length) >= length
         return context[hit], place[hit]
 
     return kernel
