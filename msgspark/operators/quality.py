@@ -166,17 +166,14 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
 
 
 def isolation_forest(points: DataFrame, *, dim: int, n_trees: int = N_TREES, tree_rows: int = TREE_ROWS,
-                     n_points: int | None = None, seed: int = 42) -> list[list[tuple]]:
+                     seed: int = 42) -> list[list[tuple]]:
     """Trees grown on ``tree_rows`` hash-chosen rows each; at most n_trees * 2 * tree_rows nodes.
 
-    A row enters a tree when its hash is among the lowest of that tree. Hashes are uniform,
-    so with ``n_points`` known a threshold that leaves about 16 * tree_rows candidates per
-    tree spares the sort almost all rows.
+    A row enters a tree when its hash is among the lowest of that tree. The rank limit applies in each task before
+    the exchange, so at most n_trees * tree_rows rows a task are sent.
     """
     drawn = points.select("id", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
     drawn = drawn.withColumn("_h", F.xxhash64("id", "tree", F.lit(seed)))
-    if n_points and n_points > 64 * tree_rows:
-        drawn = drawn.filter(F.col("_h") < int(-(1 << 63) + (1 << 64) * (16 * tree_rows / n_points)))
     w = Window.partitionBy("tree").orderBy("_h", "id")
     sample = drawn.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= tree_rows)
     rows = sample.select("id", "tree").join(points, "id")  # at most n_trees * tree_rows rows
@@ -232,7 +229,7 @@ def outlier_share(original: DataFrame, synthetic: DataFrame, *, row_id: str = "r
     """Share of synthetic rows more isolated than the ``contamination`` tail of the originals."""
     o, s = (as_points(d, row_id=row_id, features=features) for d in (original, synthetic))
     n = o.count()
-    forest = isolation_forest(o, dim=dim, seed=seed, n_points=n, **forest_args)
+    forest = isolation_forest(o, dim=dim, seed=seed, **forest_args)
     size = min(n, forest_args.get("tree_rows", TREE_ROWS))
     scores = isolation_scores(o, forest, dim=dim, sample_size=size)
     long = scores.select(F.lit(0).alias("feature"), F.lit(False).alias("is_synthetic"), F.col("score").alias("value"),

@@ -43,7 +43,8 @@ def dedup_first(df: DataFrame, *, text: str = "text", row_id: str = "row_id") ->
     The rank filter is applied before the exchange as well (one row per text and map
     task), so a text that makes up a third of the table does not pile up in one reducer.
     """
-    w = Window.partitionBy(F.xxhash64(text), text).orderBy(row_id)
+    # a 128-bit digest stands for the text, so whole texts are never compared or sorted by; null is a text of its own
+    w = Window.partitionBy(F.md5(F.encode(text, "UTF-8"))).orderBy(row_id)
     return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
 
 

@@ -13,13 +13,14 @@ RESULT_COLUMNS = ("email_index", "email_text", "prediction", "confidence", "mode
                   "timestamp", "status", "error_message")
 
 
-def scoring_error(c) -> Column:
-    """Why a message cannot be scored, null when it can."""
+def scoring_error(c, max_length: int | None = fv.MAX_MESSAGE) -> Column:
+    """Why a message cannot be scored, null when it can. ``max_length`` None: any length can."""
+    limit = F.lit(max_length).cast("int")
     n = F.struct(F.coalesce(F.length(strip(c)), F.lit(0)).alias("bare"), F.length(_col(c)).alias("raw"))
     return let(n, lambda n: (
         F.when(n["bare"] == 0, "Empty email content")
         .when(n["bare"] < fv.MIN_MESSAGE, "Email content too short (minimum 10 characters)")
-        .when(n["raw"] > fv.MAX_MESSAGE, f"Invalid email text: {fv.ERR_LONG}")))
+        .when(n["raw"] > limit, f"Invalid email text: {fv.ERR_LONG}")))
 
 
 def result_rows(checked: DataFrame, scored: DataFrame, *, index: str = "email_index", text: str = "text",
@@ -40,9 +41,12 @@ def result_rows(checked: DataFrame, scored: DataFrame, *, index: str = "email_in
 
 def score_messages(df: DataFrame, terms: DataFrame, priors: DataFrame, *, text: str = "text",
                    index: str = "email_index", model_name: str = "naive_bayes", as_of: Column | None = None,
-                   max_features: int | None = 5000) -> DataFrame:
-    """Score with a relational naive Bayes model; one result row per message, none is lost."""
-    checked = df.withColumn("error_message", scoring_error(text))
+                   max_features: int | None = 5000, max_length: int | None = fv.MAX_MESSAGE) -> DataFrame:
+    """Score with a relational naive Bayes model; one result row per message, none is lost.
+
+    A message longer than ``max_length`` is an error row; None scores messages of any length as a whole.
+    """
+    checked = df.withColumn("error_message", scoring_error(text, max_length))
     good = checked.filter("error_message IS NULL").select(index, text)
     scored = bayes.score(good, terms, priors, text=text, row_id=index, max_features=max_features)
     return result_rows(checked, scored, index=index, text=text, model_name=model_name, as_of=as_of)

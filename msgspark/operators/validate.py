@@ -13,8 +13,8 @@ def _lengths(c) -> Column:
     return F.struct(F.length(strip(c)).alias("bare"), F.length(_col(c)).alias("raw"))
 
 
-def message_errors(c, *, on_stripped: bool = False) -> Column:
-    """Array of error messages of a message; empty for a valid one.
+def message_errors(c, *, on_stripped: bool = False, max_length: int | None = fv.MAX_MESSAGE) -> Column:
+    """Array of error messages of a message; empty for a valid one. ``max_length`` None: no upper limit.
 
     ``on_stripped`` measures the upper limit on the stripped text (the request check)
     instead of the raw text (the loader check).
@@ -25,7 +25,7 @@ def message_errors(c, *, on_stripped: bool = False) -> Column:
             F.when(bare.isNull(), fv.ERR_NONE),
             F.when(bare == 0, fv.ERR_EMPTY),
             F.when((bare > 0) & (bare < fv.MIN_MESSAGE), fv.ERR_SHORT),
-            F.when((bare > 0) & (measured > fv.MAX_MESSAGE), fv.ERR_LONG),
+            F.when((bare > 0) & (measured > F.lit(max_length).cast("int")), fv.ERR_LONG),
         ))
     return let(_lengths(c), rules)
 
@@ -44,11 +44,12 @@ def request_error(c, field: str = "email_text") -> Column:
         .when(n > fv.MAX_MESSAGE, f"{field} is too long (maximum 10,000 characters)")))
 
 
-def validate_messages(df: DataFrame, *, text: str = "text", mode: str = "raw") -> DataFrame:
+def validate_messages(df: DataFrame, *, text: str = "text", mode: str = "raw",
+                      max_length: int | None = fv.MAX_MESSAGE) -> DataFrame:
     """Add ``is_valid``, ``errors`` and ``warnings``."""
     if mode not in ("raw", "stripped"):
         raise ValueError("mode must be 'raw' or 'stripped'")
-    errors = message_errors(text, on_stripped=mode == "stripped")
+    errors = message_errors(text, on_stripped=mode == "stripped", max_length=max_length)
     return (
         df.withColumn("errors", errors)
         .withColumn("warnings", message_warnings(text))

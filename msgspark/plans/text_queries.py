@@ -327,7 +327,7 @@ def tfidf_arrays(spark, sf):
 def tfidf_vectors(spark, sf):
     docs = messages(spark, sf)
     v = feat.fit_vocabulary(docs)
-    return feat.tfidf_vectors(docs, v, size=feat.MAX_FEATURES)
+    return feat.tfidf_vectors(docs, v, size=max(1, v.count()))
 
 
 # ---- naive Bayes -----------------------------------------------------------------------------

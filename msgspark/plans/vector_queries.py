@@ -192,7 +192,7 @@ def synthetic_quality(spark, sf):
 def cv_accuracy(spark, sf):
     docs = labelled(spark, sf)
     vocab = feat.fit_vocabulary(docs)
-    data = feat.tfidf_vectors(docs, vocab, size=feat.MAX_FEATURES, keep=("label",))
+    data = feat.tfidf_vectors(docs, vocab, size=max(1, vocab.count()), keep=("label",))
     mean, spread = M.cross_validate(data, "naive_bayes")
     return spark.range(1).select(F.lit(mean).alias("cv_mean"), F.lit(spread).alias("cv_spread"))
 

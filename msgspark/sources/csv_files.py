@@ -58,17 +58,19 @@ def _records(lines):
 def file_heads(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, length, modified, detected_encoding, records): the parsed head of every file.
 
-    Only the first split of a file is read and the line limit per file applies before the
-    exchange. Lines keep their raw bytes until the encoding is known.
+    The head comes from the first HEAD_LINES lines, and the line limit applies before the exchange; the encoding from
+    every line, as a byte that is not UTF-8 may come anywhere. Lines keep their raw bytes until it is known.
     """
-    lines = spark.read.text(paths).select(
+    every = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_line"), "value").filter("_block = 0")
+        F.monotonically_increasing_id().alias("_line"), "value")
+    lines = every.filter("_block = 0")
     w = Window.partitionBy("path").orderBy("_line")
     head = lines.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= HEAD_LINES)
+    # the encoding is judged over all bytes of a file; partial sums leave one row a file and task
+    encoding = every.groupBy("path").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
     per_file = head.groupBy("path").agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-        F.sort_array(F.collect_list(F.struct("_r", F.col("value").cast("binary").alias("b")))).alias("l"))
+        F.sort_array(F.collect_list(F.struct("_r", F.col("value").cast("binary").alias("b")))).alias("l")).join(encoding, "path")
     text = F.transform("l", lambda x: F.when(F.col("utf8"), F.decode(x["b"], "UTF-8")).otherwise(
         F.decode(x["b"], "ISO-8859-1")))
     parsed = per_file.select(
@@ -123,8 +125,12 @@ def read_messages(spark: SparkSession, paths: str | list[str], *, text_col: str
     profile = profile_files(spark, paths).filter(
         (F.col("format_type") != "unknown") & (F.col("confidence_score") >= min_confidence))
     if text_col is not None:
+        # the name as it is, else in any case, else as a part of a name
+        wanted, names = text_col.strip().lower(), F.transform("columns", lambda c: F.lower(F.trim(c)))
+        place = lambda found: F.nullif(found, F.lit(0)).cast("int") - 1
+        part = F.array_position(F.transform(names, lambda c: F.contains(c, F.lit(wanted))), True)
         profile = profile.withColumn("text_pos", F.coalesce(
-            F.nullif(F.array_position("columns", text_col), F.lit(0)).cast("int") - 1, F.col("text_pos")))
+            place(F.array_position("columns", text_col)), place(F.array_position(names, wanted)), place(part), F.col("text_pos")))
     layout = profile.select("path", "has_header", "detected_encoding", "text_pos", "label_pos", "column_count").collect()  # file list
     if not layout:
         return spark.createDataFrame([], "path string, _seq bigint, text string, label string")
@@ -144,6 +150,16 @@ def read_messages(spark: SparkSession, paths: str | list[str], *, text_col: str
         F.get("fields", F.col("label_pos")).alias("label")).filter("text IS NOT NULL")
 
 
+def rejected_files(spark: SparkSession, paths: str | list[str], *, min_confidence: float = 0.5) -> DataFrame:
+    """(path, format_type, confidence_score, reason) of the files that ``read_messages`` leaves out."""
+    low = F.format_string("Could not determine CSV format (confidence %.2f)", F.col("confidence_score").cast("double"))
+    reason = F.when(F.col("length") == 0, "File is empty").when(
+        F.coalesce(F.col("format_type"), F.lit("unknown")) == "unknown", "Could not determine CSV format").when(
+        F.coalesce(F.col("confidence_score"), F.lit(0.0)) < min_confidence, low)
+    return profile_files(spark, paths).select("path", "format_type", "confidence_score", reason.alias("reason")).filter(
+        "reason is not null")
+
+
 def number_messages(df: DataFrame) -> DataFrame:
     """Add the 1-based ``email_index`` within each file, in row order."""
     return global_rank(df, order_by=["_seq"], partition_by=["path"], name="_i").withColumn(
@@ -179,13 +195,14 @@ def ragged_fields(lines: DataFrame, *, value: str = "value", text_pos: int = 0)
 
 
 def read_labelled(spark: SparkSession, paths: str | list[str], *, text: str = "text", label: str = "label",
-                  encoding: str = "UTF-8") -> DataFrame:
+                  encoding: str = "UTF-8", multi_line: bool = True) -> DataFrame:
     """Strict labelled load: required header, nulls dropped, first of equal texts, labels normalised.
 
     Files have to share one header, which is read without scanning the data. First means
-    the lowest position in the file with the lowest path.
+    the lowest position in the file with the lowest path. ``multi_line=False`` lets Spark split large files that
+    have no quoted line breaks.
     """
-    reader = (spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+    reader = (spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
               .option("encoding", encoding))
     df = reader.csv(paths)
     missing = [c for c in (text, label) if c not in df.columns]
@@ -201,8 +218,8 @@ def read_batch(spark: SparkSession, paths: str | list[str], **kw) -> DataFrame:
     return validate_messages(read_labelled(spark, paths, **kw)).filter("is_valid").select("path", "seq", "text")
 
 
-def read_v1v2(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_v1v2(spark: SparkSession, paths: str | list[str], *, multi_line: bool = True) -> DataFrame:
     """Training files with columns v1 (label) and v2 (text) in ISO-8859-1."""
-    df = (spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+    df = (spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
           .option("encoding", "ISO-8859-1").csv(paths))
     return df.select(F.lower("v1").alias("label"), F.col("v2").alias("text")).dropna(subset=["label", "text"])
