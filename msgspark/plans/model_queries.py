@@ -323,7 +323,11 @@ CHECKED = f"""checked AS (SELECT doc_id AS email_index, text, CASE WHEN text IS
    WHEN length(text) > 10000 THEN 'Invalid email text: {fv.ERR_LONG}' END AS error_message FROM documents)"""
 
 
-@query("score_messages", f"""{NB_SCORE}, {CHECKED}
+# messages of any length are scored as a whole
+SCORABLE = "\n".join(line for line in CHECKED.split("\n") if "> 10000" not in line) + " END AS error_message FROM documents)"
+
+
+@query("score_messages", f"""{NB_SCORE}, {SCORABLE}
 SELECT email_index, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS email_text,
   CASE WHEN error_message IS NOT NULL THEN 'Error' WHEN prediction = 1 THEN 'Spam' ELSE 'Legitimate' END AS prediction,
   round(CASE WHEN error_message IS NULL THEN confidence ELSE 0 END, 5) AS confidence,
@@ -334,7 +338,7 @@ def score_messages(spark, sf):
     from ..operators import bayes
     terms, priors = bayes.fit(labelled(spark, sf))
     docs = messages(spark, sf).withColumnRenamed("row_id", "email_index")
-    res = S.score_messages(docs, terms, priors)
+    res = S.score_messages(docs, terms, priors, max_length=None)
     return res.select("email_index", "email_text", "prediction", F.round("confidence", 5).alias("confidence"),
                       "model_used", "status", "error_message")
 

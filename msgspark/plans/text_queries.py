@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import fixed_values as fv, labels as L, text as T
@@ -323,11 +324,18 @@ def tfidf_arrays(spark, sf):
     return w.select("row_id", F.col("term_idx").cast("bigint").alias("term_idx"), F.round("weight", 6).alias("weight"))
 
 
-@query("tfidf_vectors", None)
+@query("tfidf_vectors", f"""WITH {o.tfidf_ctes(ALL_DOCS)}
+SELECT s.row_id, count(weight) AS nnz, round(coalesce(sum(weight), 0), 5) AS total,
+  round(coalesce(sum(weight * (term_idx + 1)), 0), 3) AS moment FROM src s LEFT JOIN weights w ON s.row_id = w.row_id GROUP BY s.row_id""")
 def tfidf_vectors(spark, sf):
+    """The vectors, read back as entries: their number, sum, and sum weighted by position."""
     docs = messages(spark, sf)
     v = feat.fit_vocabulary(docs)
-    return feat.tfidf_vectors(docs, v, size=max(1, v.count()))
+    dense = feat.tfidf_vectors(docs, v, size=max(1, v.count())).select("row_id", vector_to_array("features").alias("x"))
+    weighted = lambda f: F.aggregate(F.transform("x", f), F.lit(0.0), lambda a, b: a + b)
+    return dense.select("row_id", F.size(F.filter("x", lambda e: e != 0)).cast("bigint").alias("nnz"),
+                        F.round(weighted(lambda e, i: e), 5).alias("total"),
+                        F.round(weighted(lambda e, i: e * (i + 1)), 3).alias("moment"))
 
 
 # ---- naive Bayes -----------------------------------------------------------------------------
