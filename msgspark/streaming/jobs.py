@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import fixed_values as fv
 from ..operators.scoring import score_messages
 from ..operators.telemetry import epoch_micros, threshold_alerts
 
@@ -29,7 +30,8 @@ def _start(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: st
 
 
 def score_stream(messages: DataFrame, terms: DataFrame, priors: DataFrame, *, out: str, checkpoint: str,
-                 text: str = "text", index: str = "email_index", once: bool = False) -> StreamingQuery:
+                 text: str = "text", index: str = "email_index", once: bool = False,
+                 max_length: int | None = fv.MAX_MESSAGE) -> StreamingQuery:
     """Score arriving messages; good and error rows land in separate partitions.
 
     A micro-batch writes its own folder and overwrites it when it is retried, so a restart
@@ -37,7 +39,7 @@ def score_stream(messages: DataFrame, terms: DataFrame, priors: DataFrame, *, ou
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        scored = score_messages(batch, terms, priors, text=text, index=index)
+        scored = score_messages(batch, terms, priors, text=text, index=index, max_length=max_length)
         scored.write.mode("overwrite").partitionBy("status").parquet(f"{out}/batch_id={batch_id}")
 
     return _start(messages, sink, checkpoint, once=once)
