@@ -4,8 +4,8 @@
 2. All shingles get one global order, rare ones first: by a count sketch over all documents (a fixed number
    of counters, so it stays small at any size), then by hash. Any order gives the same links; this one keeps shingles
    that many documents share out of the prefixes.
-3. Two sets that agree enough share one of their first n - ceil(t n) + 1 shingles. Rows with a common prefix
-   shingle form candidate groups (connected components, found by contraction).
+3. Two sets that agree enough share some of their first n - ceil(t n) + 1 shingles; pairs that share too few are
+   dropped (``candidates``). What remains forms groups (connected components, found by contraction).
 4. The sets of a group go into a trie in global order. A set walks the trie, sharing the overlap counted along a path
    among all sets below it; subtrees are cut where the lengths that remain can't reach the threshold any more, and
    where all sets are in the walking set's component already. Only links that join components are kept.
@@ -19,6 +19,7 @@ doc_id count as linked. Repeated rows are returned each. Other columns are not r
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +32,10 @@ from .batches import slices, spans, utf8
 from .components import components
 from .storage import written
 
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 BLOCK_BITS = 12
 GROUP_TOKENS = 1 << 21
+SMALL_GROUP = 32
 SHARED_SETS = 64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -66,6 +68,14 @@ def prefix_length(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
+def packed(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.astype("<i8").tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), "<i8")
+
+
 def sketch(texts: DataFrame, size: int) -> np.ndarray:
     """How many documents have a shingle, per counter; the counters of all tasks are added in two exchanges."""
     per_block, n = 1 << BLOCK_BITS, 1 << SKETCH_BITS
@@ -83,23 +93,23 @@ def sketch(texts: DataFrame, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([
             pa.array(np.arange(len(blocks), dtype=np.int32)),
             pa.array(np.full(len(blocks), TaskContext.get().partitionId() % 256, np.int32)),
-            pa.array([b.tobytes() for b in blocks], pa.binary())], ["block", "salt", "counts"])
+            pa.array([packed(b) for b in blocks], pa.binary())], ["block", "salt", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
         for batch in batches:
             for row in batch.to_pylist():
-                key, counts = (row["block"], row["salt"]), np.frombuffer(row["counts"], np.int64)
+                key, counts = (row["block"], row["salt"]), unpacked(row["counts"])
                 sums[key] = sums[key] + counts if key in sums else counts
         yield pa.RecordBatch.from_arrays([
             pa.array([k[0] for k in sums], pa.int32()), pa.array([k[1] for k in sums], pa.int32()),
-            pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["block", "salt", "counts"])
+            pa.array([packed(v) for v in sums.values()], pa.binary())], ["block", "salt", "counts"])
 
     parts = texts.select("text").mapInArrow(count, schema).repartition("block", "salt").mapInArrow(add, schema)
     rows = parts.withColumn("salt", F.lit(0)).repartition("block").mapInArrow(add, schema).collect()  # one per block
     total = np.zeros(n, np.int64)
     for r in rows:
-        total[r.block * per_block: (r.block + 1) * per_block] = np.frombuffer(r.counts, np.int64)
+        total[r.block * per_block: (r.block + 1) * per_block] = unpacked(r.counts)
     return total
 
 
@@ -109,16 +119,24 @@ def ordered(h: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, size: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(doc_id, key, n, one, two, prefix): set size, 128-bit digest of the set, its first shingles in global order."""
+    """(doc_id, key, n, one, two, prefix): set size, 128-bit digest of the set, its first shingles in global order.
+
+    Of equal sets in a slice only the one with the smallest key gives a prefix, so a hot group of copies arrives at the next
+    exchange as one row for each slice; the smallest key of all is always among them.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, limit=anchors.PIECE):
                 h, offsets = shingle_sets(part.column("text"), size)
                 n = np.diff(offsets)
                 h = h[ordered(h, np.repeat(np.arange(len(n)), n), counts)]
-                keep = np.where(n > 0, prefix_length(n, percent), 0)
                 sums = [np.r_[np.uint64(0), np.cumsum(v, dtype=np.uint64)] for v in (mix(h), mix(h ^ anchors.M3))]
                 one, two = (s[offsets[1:]] - s[offsets[:-1]] for s in sums)
+                keys = part.column("key").to_numpy(zero_copy_only=False)
+                order = np.lexsort((keys, two, one))
+                copy = np.zeros(len(n), bool)
+                copy[order[1:]] = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
+                keep = np.where((n > 0) & ~copy, prefix_length(n, percent), 0)
                 prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(keep)].astype(np.int32)),
                                                   pa.array(h[spans(offsets[:-1], keep)].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([
@@ -128,6 +146,31 @@ def prefixes(texts: DataFrame, size: int, percent: int, counts: np.ndarray) -> D
     return texts.mapInArrow(run, "doc_id long, key long, n long, one long, two long, prefix array<long>")
 
 
+def candidates(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) edges that connect all sets that agree, and few others.
+
+    Sets that agree share at least ``need`` prefix shingles: the prefix that ends first in global order holds all that
+    its set shares up to there, so what it doesn't share counts against the overlap. Shingles of up to SMALL_GROUP
+    sets are counted for each pair of fitting sizes; a set is paired with at most SMALL_GROUP - 1 others for a shingle. The sets
+    of a more frequent shingle are tied to the smallest one, uncounted. So no pair that agrees is missed.
+    """
+    token = Window.partitionBy("token")
+    rows = sets.select("key", "n", F.explode("prefix").alias("token")).select(
+        "*", F.count(F.lit(1)).over(token).alias("g"), F.min("key").over(token).alias("least")).filter("g > 1")
+    large = rows.filter(F.col("g") > SMALL_GROUP).select(F.col("least").alias("a"), F.col("key").alias("b"))
+    before = token.orderBy("n", "key").rowsBetween(-(SMALL_GROUP - 1), -1)
+    pairs = rows.filter(F.col("g") <= SMALL_GROUP).select(
+        "key", "n", F.collect_list(F.struct("n", "key")).over(before).alias("others")).select(
+        "key", "n", F.explode(F.filter("others", lambda o: 100 * o.n >= percent * F.col("n"))).alias("o")).select(
+        F.least("key", "o.key").alias("a"), F.greatest("key", "o.key").alias("b"), F.col("o.n").alias("x"), F.col("n").alias("y"))
+    up = lambda over, by: F.floor((over + (by - 1)) / by)
+    prefix = lambda c: F.col(c) - up(F.col(c) * percent, 100) + 1
+    overlap = up((F.col("x") + F.col("y")) * percent, 100 + percent)
+    need = F.least(overlap - F.col("x") + prefix("x"), overlap - F.col("y") + prefix("y"))
+    counted = pairs.groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= need)
+    return counted.select("a", "b").unionByName(large)
+
+
 class Trie:
     """Sets in global order as a compressed prefix tree; sets[i] are sorted ranks below ``width``."""
 
@@ -273,7 +316,8 @@ def sets_of(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                     ["units", "key", "set"])
 
     units = wanted.groupBy("key").agg(F.collect_list("unit").alias("units"))
-    found = texts.select("key", "text").join(units, "key").select("units", "key", "text")
+    # the same plan at all sizes: a small side would be broadcast on small inputs only
+    found = texts.select("key", "text").join(units.hint("merge"), "key").select("units", "key", "text")
     return found.mapInArrow(run, "units array<long>, key long, set binary").select(
         F.explode("units").alias("unit"), "key", "set")
 
@@ -292,9 +336,7 @@ def link_components(docs: DataFrame, size: int = 4, percent: int = 85, text_col:
     members = written(sets.select("doc_id", "key", *digest).join(classes, digest, "left").select(
         "doc_id", "key", "n", F.coalesce("rep", "key").alias("rep")), "members")
     reps = members.filter("key = rep and n > 0").select("key", "n").distinct()
-    tokens = sets.join(reps.select("key"), "key", "left_semi").select("key", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("z")).filter("a <> z").select("token", "a")
-    groups = components(tokens.join(shared, "token").select("a", F.col("key").alias("b")))
+    groups = components(candidates(sets, percent))
     sized = reps.join(groups, reps.key == groups.node).select("key", "n", F.col("component").alias("top"))
     totals = sized.groupBy("top").agg(F.sum("n").alias("total"))
     sized = written(sized.join(totals, "top").select(
