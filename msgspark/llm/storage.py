@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, str] = {}
+_tables: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,10 +31,21 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Delete the intermediate tables this session has written, once what was read from them is no longer needed."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    paths = _tables.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = hadoop.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from msgspark.llm import byte_cnn, mixing, quality_rules, rp_forest, sharding
@@ -187,3 +188,15 @@ def test_pipeline_stages_and_rows(spark, sf):
     assert {r.doc_id for r in rows} == ids
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0, name
+
+
+def test_intermediate_tables_can_be_deleted(spark):
+    from msgspark.llm import storage
+
+    storage.clear(spark)
+    table = storage.written(spark.range(5).toDF("x"), "five")
+    assert table.count() == 5
+    file = table.inputFiles()[0]
+    assert storage.clear(spark) == 1 and storage.clear(spark) == 0
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        spark.read.parquet(file)
