@@ -160,3 +160,24 @@ def op7_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_nbest.encode(spread(documents(spark, sf_dir)), public_tokenizers.path("piece_bpe_32k.model")).drop("ids")
+
+
+ORACLES["op2_prefix_tree_join"] = r"""
+with recursive texts as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') as words from documents),
+sets as materialized (
+  select distinct doc_id, array_to_string(words[i:i + 3], ' ') as s
+  from (select doc_id, words, unnest(range(1, greatest(2, len(words) - 2))) as i from texts where len(words) > 0)),
+sizes as materialized (select doc_id, count(*) as n, md5(string_agg(s, chr(10) order by s)) as digest from sets group by doc_id),
+links as materialized (
+  select x, y from (select a.doc_id as x, b.doc_id as y, count(*) as both_have
+                    from sets a join sets b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2) p
+  join sizes m on m.doc_id = x join sizes k on k.doc_id = y where 100 * both_have >= 85 * (m.n + k.n - both_have)),
+edges as materialized (select x as a, y as b from links union all select y, x from links),
+reach(d, r) as (select doc_id, doc_id from documents union select d, b from reach join edges on a = r),
+least as (select d, min(r) as component_id from reach group by d)
+select t.doc_id, coalesce(n, 0) as n_shingles, component_id,
+       coalesce(min(t.doc_id) over (partition by case when n > 0 then digest else t.doc_id::varchar end), t.doc_id) as class_id
+from texts t join least on d = t.doc_id left join sizes s on s.doc_id = t.doc_id
+"""
