@@ -3,7 +3,8 @@
 A piece's score is its log probability by Zipf's law at its place in the model's merge order; a character without a piece is
 spelt in byte pieces, whose scores lie below all others. A text's segmentations are the paths of the lattice of its pieces.
 A forward Viterbi pass gives the best score of every prefix; a backward A* search from the end, with those scores as
-its heuristic, then completes paths in exact order of their scores.
+its heuristic, then completes paths in exact order of their scores. The forward pass also tells what the second best path of a
+unit loses, so the search runs only for units that a text's n best segmentations can change.
 
 No piece of the model spans white space from the left, a line break, or a plain letter next to plain punctuation (checked when
 the model is read). The lattice falls apart there, so those units are searched once each while they are held, and
@@ -35,11 +36,10 @@ SPACE, LITERAL = "▁", "\U0010fffe"  # the mark of a space; stands for a U+2581
 LETTER, POINT = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?|#$%&*"
 UNITS = re.compile(rf" *[{LETTER}]+(?=[ \n{POINT}]|$)| *[{POINT}]+(?=[ \n{LETTER}]|$)|\n| *[^ \n]+| +")
 COARSE = re.compile(r"\n| *[^ \n]+| +")
-CACHED_UNITS = 300_000
+CACHED_UNITS = 400_000
 SLICE_BYTES = 2 << 20
 SCALE = 1 << 20  # scores are whole numbers of 2^-20, so that sums and ties are exact
-NEVER = np.iinfo(np.int64).max
-ALONE = np.array([NEVER]).tobytes()  # the loss of a unit without another segmentation
+NEVER = 1 << 62  # the loss of a unit without another segmentation
 
 
 class Pieces:
@@ -66,6 +66,9 @@ class Pieces:
                 rank += 1
         self.byte_score = -round(SCALE * (log(size + 2.7) + zipf))
         self.longest = max(map(len, self.score))
+        # every beginning of a piece, with the piece's ids and score if it is one itself
+        self.begins: dict[str, tuple | None] = {name[:k]: None for name in self.score for k in range(1, len(name))}
+        self.begins |= {name: ((i,), score) for name, (i, score) in self.score.items()}
         bare = [name.replace(SPACE, "") for name in self.score]
         near = re.compile(rf"[{LETTER}][{POINT}]|[{POINT}][{LETTER}]")
         self.units_of = (COARSE if any(map(near.search, bare)) else UNITS).findall
@@ -74,12 +77,61 @@ class Pieces:
         self.lengths = np.array([len(r) for r in self.raw], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(self.raw), np.uint8)
-        # the units held: places of their best ids, and losses of their other segmentations
+        # the units held: places of their best ids, and the loss of their second best segmentation
         self.at: dict[str, int] = {}
         self.ids: list[bytes] = []
-        self.losses: list[bytes] = []
+        self.loss: list[int] = []
         self.best: list[int] = []
 
+    def spelt(self, char: str) -> tuple[tuple[int, ...], int]:
+        ids = tuple(self.spelling[b] for b in (SPACE if char == LITERAL else char).encode())
+        return ids, self.byte_score * len(ids)
+
+    def forward(self, unit: str) -> tuple[list[int], int, int]:
+        """Ids and score of a best segmentation, and the loss of the best other one.
+
+        The second best path has an edge off the best one; the best score through an edge is the best before it, its
+        own, and the best after it.
+        """
+        s = unit.replace(SPACE, LITERAL).replace(" ", SPACE)
+        look, size, edges = self.begins.get, len(s), []
+        best, came = [0] + [-NEVER] * size, [None] * (size + 1)
+        for i in range(size):
+            here, j = best[i], i + 1
+            if s[i] not in self.score:
+                edges.append((i, j, self.spelt(s[i])))
+                if here + edges[-1][2][1] > best[j]:
+                    best[j], came[j] = here + edges[-1][2][1], edges[-1]
+            while j <= size:
+                found = look(s[i:j], 0)
+                if found == 0:
+                    break
+                if found is not None:
+                    edge = (i, j, found)
+                    edges.append(edge)
+                    if here + found[1] > best[j]:
+                        best[j], came[j] = here + found[1], edge
+                j += 1
+        after, second, path, j = [-NEVER] * size + [0], -NEVER, [], size
+        while j:
+            path.append(came[j])
+            j = came[j][0]
+        on_path = set(map(id, path))
+        for edge in reversed(edges):
+            i, j, (_, score) = edge
+            rest = score + after[j]
+            if rest > after[i]:
+                after[i] = rest
+            if best[i] + rest > second and id(edge) not in on_path:
+                second = best[i] + rest
+        ids = [x for edge in reversed(path) for x in edge[2][0]]
+        return ids, best[size], best[size] - second if second > -NEVER else NEVER
+
+    def others(self, unit: str, ids: list[int], best: int) -> list[tuple[int, list[int]]]:
+        """The n - 1 best segmentations besides ``ids``, with their losses."""
+        found = [(best - score, own) for score, own in self.segment(unit, self.n) if own != ids]
+        return found[: self.n - 1]
+
     def segment(self, unit: str, n: int) -> list[tuple[int, list[int]]]:
         """The n best segmentations of a unit, best first."""
         s = unit.replace(SPACE, LITERAL).replace(" ", SPACE)
@@ -93,8 +145,8 @@ class Pieces:
                     own.append((i, found[1], (found[0],)))
                     top = max(top, best[i] + found[1])
             if s[j - 1] not in self.score:
-                spelt = tuple(self.spelling[b] for b in (SPACE if s[j - 1] == LITERAL else s[j - 1]).encode())
-                own.append((j - 1, self.byte_score * len(spelt), spelt))
+                spelt, score = self.spelt(s[j - 1])
+                own.append((j - 1, score, spelt))
                 top = max(top, best[j - 1] + own[-1][1])
             best[j], edges[j] = top, own
         # among equal scores the path nearest to its end goes first, or ties would grow without end
@@ -117,17 +169,17 @@ class Pieces:
         if len(self.at) > CACHED_UNITS:  # what came first stays: it is what comes most
             for u in list(self.at)[CACHED_UNITS:]:
                 del self.at[u]
-            for held in (self.ids, self.losses, self.best):
+            for held in (self.ids, self.loss, self.best):
                 del held[CACHED_UNITS:]
         out = np.empty(len(units), np.int64)
         for k, u in enumerate(units):
             p = self.at.get(u)
             if p is None:
                 p = self.at[u] = len(self.ids)
-                found = self.segment(u, self.n)
-                self.ids.append(np.array(found[0][1], "<u4").tobytes())
-                self.best.append(found[0][0])
-                self.losses.append(np.array([found[0][0] - score for score, _ in found[1:]], "<i8").tobytes())
+                ids, best, loss = self.forward(u)
+                self.ids.append(np.array(ids, "<u4").tobytes())
+                self.best.append(best)
+                self.loss.append(loss)
             out[k] = p
         return out
 
@@ -150,9 +202,10 @@ class Pieces:
         flat = np.frombuffer(b"".join(self.ids[p] for p in used), "<u4").astype(np.int64)
         count = np.array([len(self.ids[p]) // 4 for p in used], np.int64)
         start = np.cumsum(count) - count
-        least = np.frombuffer(b"".join((self.losses[p] or ALONE)[:8] for p in used), "<i8")
+        least = np.array([self.loss[p] for p in used], np.int64)
         score = np.array([self.best[p] for p in used], np.int64)
         place = {u: local[p] for u, p in place.items()}
+        others: dict[int, list] = {}
         for units in split:
             own = np.fromiter(map(place.__getitem__, units), np.int64, len(units))
             total = int(score[own].sum()) if len(own) else 0
@@ -165,11 +218,16 @@ class Pieces:
             some = some[np.argsort(loss[some], kind="stable")][: self.n - 1]
             some = np.sort(some[loss[some] < NEVER])
             found, before = [], np.r_[0, np.cumsum(count[own])] if len(own) else np.zeros(1, np.int64)
-            for lost, choice in self.variants([np.frombuffer(self.losses[used[own[k]]], "<i8").tolist() for k in some]):
+            for k in some:
+                if own[k] not in others:
+                    p = used[own[k]]
+                    others[own[k]] = self.others(units[k], np.frombuffer(self.ids[p], "<u4").tolist(), self.best[p])
+            changes = [others[own[k]] for k in some]
+            for lost, choice in self.variants([[x for x, _ in c] for c in changes]):
                 parts, at = [], 0
-                for k, m in choice:
-                    k = int(some[k])
-                    parts += [ids[at: before[k]], np.array(self.segment(units[k], m + 1)[m][1], np.int64)]
+                for c, m in choice:
+                    k = int(some[c])
+                    parts += [ids[at: before[k]], np.array(changes[c][m - 1][1], np.int64)]
                     at = before[k + 1]
                 found.append(((total - lost) / SCALE, np.concatenate([*parts, ids[at:]])))
             yield found
