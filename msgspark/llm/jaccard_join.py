@@ -256,8 +256,8 @@ class Trie:
                 best = overlap + min(rest, self.long[node] - depth)
                 if (100 + self.percent) * best < self.percent * (n + self.short[node]):
                     continue
-                other = self.order[leaf]
-                if not below and self.agree(overlap, n, depth) and other != q:
+                other = self.order[leaf]  # ends here, also above longer sets, if it is as long as the path
+                if len(self.sets[other]) == depth and other != q and self.agree(overlap, n, depth):
                     self.join(q, other)
                 stack.extend((child, depth, overlap) for child in below)
             mark[s] = False

@@ -241,6 +241,47 @@ def test_trie_links_against_all_pairs():
                 assert find(i) == find(j)
 
 
+def brute_groups(sets, percent):
+    groups = [{i} for i in range(len(sets))]
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both) and groups[i] is not groups[j]:
+                groups[i] |= groups[j]
+                for k in groups[j]:
+                    groups[k] = groups[i]
+    return {frozenset(g) for g in groups}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_trie_links_sets_that_are_prefixes_of_others(seed):
+    rng = np.random.default_rng(seed)
+    sets = {}
+    for _ in range(60):  # A and B agree only with each other; in global order each is a prefix of a longer set
+        at, s = int(rng.integers(0, 40)) * 100, np.arange(2, 14)
+        for first in (0, 1):
+            short = np.r_[first, s] + at
+            sets[short.tobytes()] = short
+            long = np.r_[short, np.sort(rng.choice(np.arange(20, 90), 4, replace=False)) + at]
+            sets[long.tobytes()] = long
+    sets = [s.astype(np.uint64) for s in sets.values()]
+    groups = [{i} for i in range(len(sets))]
+    for i, j in jaccard_join.link_sets(sets, np.zeros(16, np.int64), 85):
+        if groups[i] is not groups[j]:
+            groups[i] |= groups[j]
+            for k in groups[j]:
+                groups[k] = groups[i]
+    assert {frozenset(g) for g in groups} == brute_groups(sets, 85)
+
+
+def test_trie_walk_alone_finds_sets_at_inner_nodes():
+    s = np.arange(2, 14)
+    sets = [np.r_[0, s], np.r_[1, s], np.r_[0, s, 20:24], np.r_[1, s, 30:34]]
+    trie = jaccard_join.Trie([x.astype(np.int64) for x in sets], 40, 85)
+    trie.walk_all()
+    assert sorted(tuple(sorted(x)) for x in trie.links) == [(0, 1)]
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     rng = random.Random(1)
