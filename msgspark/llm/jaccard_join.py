@@ -12,6 +12,9 @@
 5. A group of more than ``GROUP_TOKENS`` is dealt into blocks, each joined with itself and with some shared sets; then
    every set outside the group's largest component meets every block. Nothing is left out.
 
+``link_pairs`` and ``link_counts`` give all links, not only those that join components: in place of 4 and 5, every block meets
+every block of its group, and the walk is cut by the remaining lengths alone.
+
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case. A null, empty or blank text has an empty set
 and stands alone. Texts with fewer words than a shingle have one shingle. A null doc_id is the smallest id; rows with the same
 doc_id count as linked. Repeated rows are returned each. Other columns are not read. Empty in, empty out.
@@ -37,6 +40,7 @@ BLOCK_BITS = 12
 GROUP_TOKENS = 1 << 21
 SMALL_GROUP = 32
 SHARED_SETS = 64
+PAIR_SETS = 2048
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -118,6 +122,12 @@ def ordered(h: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.lexsort((h, counts[(h & np.uint64(len(counts) - 1)).astype(np.int64)], owner))
 
 
+def digests(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digest of each set; the order of its shingles doesn't matter."""
+    sums = [np.r_[np.uint64(0), np.cumsum(v, dtype=np.uint64)] for v in (mix(h), mix(h ^ anchors.M3))]
+    return tuple((s[offsets[1:]] - s[offsets[:-1]]).view(np.int64) for s in sums)
+
+
 def prefixes(texts: DataFrame, size: int, percent: int, counts: np.ndarray) -> DataFrame:
     """(doc_id, key, n, one, two, prefix): set size, 128-bit digest of the set, its first shingles in global order.
 
@@ -130,8 +140,7 @@ def prefixes(texts: DataFrame, size: int, percent: int, counts: np.ndarray) -> D
                 h, offsets = shingle_sets(part.column("text"), size)
                 n = np.diff(offsets)
                 h = h[ordered(h, np.repeat(np.arange(len(n)), n), counts)]
-                sums = [np.r_[np.uint64(0), np.cumsum(v, dtype=np.uint64)] for v in (mix(h), mix(h ^ anchors.M3))]
-                one, two = (s[offsets[1:]] - s[offsets[:-1]] for s in sums)
+                one, two = digests(h, offsets)
                 keys = part.column("key").to_numpy(zero_copy_only=False)
                 order = np.lexsort((keys, two, one))
                 copy = np.zeros(len(n), bool)
@@ -140,8 +149,8 @@ def prefixes(texts: DataFrame, size: int, percent: int, counts: np.ndarray) -> D
                 prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(keep)].astype(np.int32)),
                                                   pa.array(h[spans(offsets[:-1], keep)].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), part.column("key"), pa.array(n.astype(np.int64)), pa.array(one.view(np.int64)),
-                    pa.array(two.view(np.int64)), prefix], ["doc_id", "key", "n", "one", "two", "prefix"])
+                    part.column("doc_id"), part.column("key"), pa.array(n.astype(np.int64)), pa.array(one),
+                    pa.array(two), prefix], ["doc_id", "key", "n", "one", "two", "prefix"])
 
     return texts.mapInArrow(run, "doc_id long, key long, n long, one long, two long, prefix array<long>")
 
@@ -262,15 +271,62 @@ class Trie:
                 stack.extend((child, depth, overlap) for child in below)
             mark[s] = False
 
+    def pairs(self, side: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(i, those that agree with i) so that each pair comes once; sides 0 and 1 are only paired with each other.
+
+        A level of the tree at a time; nothing is left out but what the remaining lengths rule out.
+        """
+        depth, first, end = (np.array([x[i] for x in self.nodes]) for i in range(3))
+        width = np.array([len(x[3]) for x in self.nodes])
+        below = np.array([c for x in self.nodes for c in x[3]], np.int64)
+        start = np.cumsum(width) - width
+        above = np.zeros(len(depth), np.int64)
+        above[below] = np.repeat(depth, width)
+        length, order = depth - above, np.array(self.order)
+        ranks = np.concatenate([self.sets[order[f]][a:d] for f, a, d in zip(first, above, depth, strict=True)])
+        at = np.cumsum(length) - length
+        last = ranks[np.maximum(at + length - 1, 0)]
+        sizes = np.array([len(self.sets[i]) for i in self.order])
+        ends, short, long = sizes[first] == depth, np.array(self.short), np.array(self.long)
+        mark = np.zeros(self.width, np.uint8)
+        for place, q in enumerate(self.order):
+            s, n = self.sets[q], len(self.sets[q])
+            mark[s] = 1
+            level, overlap, found = np.zeros(1, np.int64), np.zeros(1, np.int64), []
+            while len(level):
+                overlap = np.repeat(overlap, width[level])
+                level = below[spans(start[level], width[level])]
+                later = end[level] > place + 1
+                level, overlap = level[later], overlap[later]
+                if not len(level):
+                    break
+                k = length[level]
+                overlap = overlap + np.add.reduceat(mark[ranks[spans(at[level], k)]], np.cumsum(k) - k, dtype=np.int64)
+                rest = n - np.searchsorted(s, last[level], side="right")
+                best = overlap + np.minimum(rest, long[level] - depth[level])
+                keep = (100 + self.percent) * best >= self.percent * (n + short[level])
+                level, overlap = level[keep], overlap[keep]
+                hit = ends[level] & (first[level] > place) & self.agree_all(overlap, n, depth[level])
+                found.append(order[first[level[hit]]])
+            mark[s] = 0
+            others = np.concatenate(found) if found else np.zeros(0, np.int64)
+            yield q, others[(side[others] != side[q]) | (side[q] < 0)]
+
+    def agree_all(self, overlap: np.ndarray, n: int, m: np.ndarray) -> np.ndarray:
+        return 100 * overlap >= self.percent * (n + m - overlap)
+
 
-def link_sets(sets: list[np.ndarray], counts: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between different sets (of shingle hashes) that connect all that agree by ``percent``."""
+def trie_of(sets: list[np.ndarray], counts: np.ndarray, percent: int) -> Trie:
     everything = np.unique(np.concatenate(sets))
     order = ordered(everything, np.zeros(len(everything), np.int8), counts)
     rank = np.empty(len(everything), np.int64)
     rank[order] = np.arange(len(everything))
-    ranked = [np.sort(rank[np.searchsorted(everything, s)]) for s in sets]
-    trie = Trie(ranked, len(everything), percent)
+    return Trie([np.sort(rank[np.searchsorted(everything, s)]) for s in sets], len(everything), percent)
+
+
+def link_sets(sets: list[np.ndarray], counts: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between different sets (of shingle hashes) that connect all that agree by ``percent``."""
+    trie = trie_of(sets, counts, percent)
     trie.near(trie.order)
     for seed in (1, 3, 5):
         least = [int(mix(s * np.uint64(2 * seed + 1)).min()) for s in sets]
@@ -306,20 +362,45 @@ def link_units(rows: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
 
 
 def sets_of(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """The rows of ``wanted`` (key, unit) with the key's shingle set."""
+    """The rows of ``wanted`` (key, one, two, unit) with the shingle set that has the digest one, two among the key's texts."""
+    kind = wanted.schema["unit"].dataType.simpleString()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, limit=anchors.PIECE):
                 h, offsets = shingle_sets(part.column("text"), size)
-                yield pa.RecordBatch.from_arrays([part.column("units"), part.column("key"), pa.array(
-                    [h[a:b].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)], pa.binary())],
-                    ["units", "key", "set"])
-
-    units = wanted.groupBy("key").agg(F.collect_list("unit").alias("units"))
+                same = np.ones(len(offsets) - 1, bool)
+                for name, digest in zip(("one", "two"), digests(h, offsets), strict=True):
+                    same &= part.column(name).to_numpy(zero_copy_only=False) == digest
+                sets = pa.array([h[a:b].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in ("units", "key", "one", "two")), sets],
+                    ["units", "key", "one", "two", "set"]).filter(pa.array(same))
+
+    units = wanted.groupBy("key", "one", "two").agg(F.collect_list("unit").alias("units"))
     # the same plan at all sizes: a small side would be broadcast on small inputs only
-    found = texts.select("key", "text").join(units.hint("merge"), "key").select("units", "key", "text")
-    return found.mapInArrow(run, "units array<long>, key long, set binary").select(
-        F.explode("units").alias("unit"), "key", "set")
+    found = texts.select("key", "text").join(units.hint("merge"), "key").select("units", "key", "one", "two", "text")
+    return found.mapInArrow(run, f"units array<{kind}>, key long, one long, two long, set binary").select(
+        F.explode("units").alias("unit"), "key", "one", "two", "set")
+
+
+def grouped(texts: DataFrame, size: int, percent: int, counts: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Members (doc_id, key, n, one, two, rep) and the classes (key, n, one, two, copies, top, total, k) that may have links.
+
+    top is the candidate group, total and k its shingles and its classes.
+    """
+    sets = written(prefixes(texts, size, percent, counts), "prefixes")
+    digest = ["n", "one", "two"]
+    classes = written(sets.filter("n > 0").groupBy(*digest).agg(
+        F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    members = written(sets.select("doc_id", "key", *digest).join(classes.drop("copies"), digest, "left").select(
+        "doc_id", "key", *digest, F.coalesce("rep", "key").alias("rep")), "members")
+    groups = components(candidates(sets, percent))
+    # classes that share a rep are different texts of one doc_id
+    sized = classes.join(groups, classes.rep == groups.node, "left").select(
+        F.col("rep").alias("key"), *digest, "copies", F.coalesce("component", "rep").alias("top"))
+    totals = sized.groupBy("top").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    return members, written(sized.join(totals, "top").select("key", *digest, "copies", "top", "total", "k"), "groups")
 
 
 def link_components(docs: DataFrame, size: int = 4, percent: int = 85, text_col: str = "text", id_col: str = "doc_id",
@@ -330,26 +411,18 @@ def link_components(docs: DataFrame, size: int = 4, percent: int = 85, text_col:
     """
     texts = anchors.texts_of(docs, text_col, id_col)
     counts = sketch(texts, size)
-    sets = written(prefixes(texts, size, percent, counts), "prefixes")
-    digest = ["n", "one", "two"]
-    classes = sets.filter("n > 0").groupBy(*digest).agg(F.min("key").alias("rep"))
-    members = written(sets.select("doc_id", "key", *digest).join(classes, digest, "left").select(
-        "doc_id", "key", "n", F.coalesce("rep", "key").alias("rep")), "members")
-    reps = members.filter("key = rep and n > 0").select("key", "n").distinct()
-    groups = components(candidates(sets, percent))
-    sized = reps.join(groups, reps.key == groups.node).select("key", "n", F.col("component").alias("top"))
-    totals = sized.groupBy("top").agg(F.sum("n").alias("total"))
-    sized = written(sized.join(totals, "top").select(
-        "key", "n", "top", F.ceil(F.col("total") / F.lit(group_tokens)).cast("long").alias("blocks")), "groups")
+    members, sized = grouped(texts, size, percent, counts)
+    sized = sized.drop("k").withColumn("blocks", F.ceil(F.col("total") / F.lit(group_tokens)).cast("long"))
     # one unit for a group, or one for each of its blocks; the sets of least hash are in all blocks
-    one = sized.filter("blocks = 1").select("key", F.col("top").alias("unit"))
+    row = ("key", "one", "two")
+    one = sized.filter("blocks = 1").select(*row, F.col("top").alias("unit"))
     many = sized.filter("blocks > 1").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
     unit_of = lambda *c: F.xxhash64("top", *c)
     shares = many.select("*", F.row_number().over(Window.partitionBy("top").orderBy(F.xxhash64("key", F.lit(1)))).alias("k")
                          ).filter(F.col("k") <= SHARED_SETS)
-    own = many.select("key", unit_of("block").alias("unit"))
-    others = shares.select("key", "top", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block")).select(
-        "key", unit_of("block").alias("unit"))
+    own = many.select(*row, unit_of("block").alias("unit"))
+    others = shares.select(*row, "top", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block")).select(
+        *row, unit_of("block").alias("unit"))
     wanted = one.unionByName(own).unionByName(others).distinct()
     links = written(link_units(sets_of(texts, wanted, size), counts, percent), "links")
     if not many.isEmpty():
@@ -365,16 +438,100 @@ def _rest(many: DataFrame, links: DataFrame) -> DataFrame:
     """(key, unit): in each large group, blocks of the sets outside its largest component with every block."""
     found = components(links)
     now = many.join(found, many.key == found.node, "left").select(
-        "key", "top", "blocks", "block", F.coalesce("component", "key").alias("now"))
+        "key", "one", "two", "top", "blocks", "block", F.coalesce("component", "key").alias("now"))
     sizes = now.groupBy("top", "now").agg(F.count(F.lit(1)).alias("k"))
     largest = sizes.groupBy("top").agg(F.max_by("now", F.struct("k", "now")).alias("largest"))
     now = written(now.join(largest, "top"), "rest")
     rest = now.filter("now <> largest")
     pairs = rest.select("top", F.col("block").alias("i")).distinct()
     unit = F.xxhash64("top", "i", "j")
-    left = rest.select("key", "top", F.col("block").alias("i"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("j"))
-    right = now.join(pairs, "top").select("key", "top", "i", F.col("block").alias("j"))
-    return left.select("key", unit.alias("unit")).unionByName(right.select("key", unit.alias("unit"))).distinct()
+    row = ("key", "one", "two")
+    left = rest.select(*row, "top", F.col("block").alias("i"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("j"))
+    right = now.join(pairs, "top").select(*row, "top", "i", F.col("block").alias("j"))
+    return left.select(*row, unit.alias("unit")).unionByName(right.select(*row, unit.alias("unit"))).distinct()
+
+
+def pair_units(texts: DataFrame, sized: DataFrame, size: int, group_tokens: int, pair_sets: int) -> DataFrame:
+    """(unit, key, one, two, set): every two classes of a group meet in one unit (top, i, j) of two blocks, or of one (i = j)."""
+    dealt = sized.withColumn("blocks", F.greatest(F.ceil(F.col("total") / F.lit(group_tokens)), F.ceil(
+        F.col("k") / F.lit(pair_sets))).cast("long")).withColumn("block", F.pmod(F.xxhash64("one", "two"), F.col("blocks")))
+    every = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    side = F.when(F.col("block") == F.col("other"), -1).otherwise((F.col("block") > F.col("other")).cast("long")).cast("long")
+    unit = F.struct("top", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                    side.alias("side"), "copies")
+    return sets_of(texts, every.select("key", "one", "two", unit.alias("unit")), size).select(
+        "unit.*", "key", "one", "two", "set")
+
+
+def walk_pairs(rows: DataFrame, counts: np.ndarray, percent: int, each: bool) -> DataFrame:
+    """Links inside each unit of ``rows``: with ``each`` one row a pair of classes, else (key, one, two, n) the documents that
+    a class is linked with in a unit."""
+    names = ["a", "a_one", "a_two", "b", "b_one", "b_two"] if each else ["key", "one", "two", "n"]
+
+    def links(held: dict) -> Iterator[pa.RecordBatch]:
+        keys, values = list(held), list(held.values())
+        size, side = (np.array([v[i] for v in values], np.int64) for i in (1, 2))
+        columns = np.array(keys, np.int64).reshape(-1, 3)
+        total = np.zeros(len(keys), np.int64)
+        for i, others in trie_of([v[0] for v in values], counts, percent).pairs(side):
+            if each and len(others):
+                a = np.repeat(columns[i: i + 1], len(others), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*a.T.copy(), *columns[others].T.copy())], names)
+            total[i] += size[others].sum()
+            total[others] += size[i]
+        if not each:
+            some = total > 0
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns[some].T.copy(), total[some])], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        unit = None
+        for batch in batches:
+            for *now, side, copies, key, one, two, s in zip(*(batch.column(c).to_pylist() for c in (
+                    "top", "i", "j", "side", "copies", "key", "one", "two", "set")), strict=True):
+                if now != unit:
+                    if len(held) > 1:
+                        yield from links(held)
+                    held, unit = {}, now
+                held[key, one, two] = (np.frombuffer(s, np.uint64), copies, side)
+        if len(held) > 1:
+            yield from links(held)
+
+    return rows.repartition("top", "i", "j").sortWithinPartitions("top", "i", "j", "key", "one", "two").mapInArrow(
+        run, ", ".join(f"{c} long" for c in names))
+
+
+def link_pairs(docs: DataFrame, size: int = 4, percent: int = 85, text_col: str = "text", id_col: str = "doc_id",
+               group_tokens: int = GROUP_TOKENS, pair_sets: int = PAIR_SETS) -> DataFrame:
+    """(a, b) with a < b: the class_ids of every two classes whose sets agree; ``link_components`` has the members.
+
+    The rows grow with the square of a group's classes. Classes of one doc_id (it came with several texts) give no pair.
+    """
+    texts = anchors.texts_of(docs, text_col, id_col)
+    counts = sketch(texts, size)
+    _, sized = grouped(texts, size, percent, counts)
+    found = walk_pairs(pair_units(texts, sized, size, group_tokens, pair_sets), counts, percent, True)
+    back = lambda c: F.when(c != LOWEST, c)
+    return found.filter("a <> b").select(back(F.least("a", "b")).alias("a"), back(F.greatest("a", "b")).alias("b")).distinct()
+
+
+def link_counts(docs: DataFrame, size: int = 4, percent: int = 85, text_col: str = "text", id_col: str = "doc_id",
+                group_tokens: int = GROUP_TOKENS, pair_sets: int = PAIR_SETS) -> DataFrame:
+    """(doc_id, n_shingles, class_id, n_links) of every row; n_links is the number of other rows whose sets agree with its own.
+
+    Counts are added up where the pairs are found, so no row a pair is made.
+    """
+    texts = anchors.texts_of(docs, text_col, id_col)
+    counts = sketch(texts, size)
+    members, sized = grouped(texts, size, percent, counts)
+    found = walk_pairs(pair_units(texts, sized, size, group_tokens, pair_sets), counts, percent, False)
+    found = found.groupBy("one", "two").agg(F.sum("n").alias("more"))
+    copies = members.filter("n > 0").groupBy("one", "two").agg((F.count(F.lit(1)) - 1).alias("same"))
+    per_class = copies.join(found, ["one", "two"], "left").select(
+        "one", "two", (F.col("same") + F.coalesce("more", F.lit(0))).alias("n_links"))
+    return members.join(per_class, ["one", "two"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("rep") != LOWEST, F.col("rep")).alias("class_id"),
+        F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, size: int = 4, percent: int = 85, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

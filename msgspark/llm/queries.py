@@ -135,6 +135,12 @@ def op2_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_components(spread(documents(spark, sf_dir)))
 
 
+@query
+def op2_prefix_tree_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document, its class and with how many others its set agrees."""
+    return jaccard_join.link_counts(spread(documents(spark, sf_dir)))
+
+
 @query
 def op8_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -181,3 +187,21 @@ select t.doc_id, coalesce(n, 0) as n_shingles, component_id,
        coalesce(min(t.doc_id) over (partition by case when n > 0 then digest else t.doc_id::varchar end), t.doc_id) as class_id
 from texts t join least on d = t.doc_id left join sizes s on s.doc_id = t.doc_id
 """
+
+ORACLES["op2_prefix_tree_links"] = r"""
+with texts as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') as words from documents),
+sets as materialized (
+  select distinct doc_id, array_to_string(words[i:i + 3], ' ') as s
+  from (select doc_id, words, unnest(range(1, greatest(2, len(words) - 2))) as i from texts where len(words) > 0)),
+sizes as materialized (select doc_id, count(*) as n, md5(string_agg(s, chr(10) order by s)) as digest from sets group by doc_id),
+links as materialized (
+  select x, y from (select a.doc_id as x, b.doc_id as y, count(*) as both_have
+                    from sets a join sets b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2) p
+  join sizes m on m.doc_id = x join sizes k on k.doc_id = y where 100 * both_have >= 85 * (m.n + k.n - both_have)),
+per_doc as (select x, count(*) as n_links from links group by x)
+select t.doc_id, coalesce(n, 0) as n_shingles, coalesce(n_links, 0) as n_links,
+       coalesce(min(t.doc_id) over (partition by case when n > 0 then digest else t.doc_id::varchar end), t.doc_id) as class_id
+from texts t left join per_doc on x = t.doc_id left join sizes s on s.doc_id = t.doc_id
+"""

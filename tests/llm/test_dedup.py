@@ -217,6 +217,25 @@ def test_prefix_tree_join_nulls_and_repeated_rows(spark):
     assert jaccard_join.link_components(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("k", "percent", "tokens", "each"), [(4, 85, 1 << 21, 2048), (4, 85, 700, 5), (1, 50, 900, 2048)])
+def test_prefix_tree_join_gives_all_links(spark, k, percent, tokens, each):
+    rows = near_copies()
+    sets = {d: shingles(t, k) for d, t in rows}
+    first = {}
+    for d in sorted(sets):
+        first.setdefault(frozenset(sets[d]) or d, d)
+    class_of = {d: first[frozenset(s) or d] for d, s in sets.items()}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and
+             100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.a, r.b) for r in jaccard_join.link_pairs(df, k, percent, group_tokens=tokens, pair_sets=each).collect()}
+    assert got == {(class_of[a], class_of[b]) for a, b in links if class_of[a] < class_of[b]} | {
+        (class_of[b], class_of[a]) for a, b in links if class_of[b] < class_of[a]}
+    got = {r.doc_id: (r.n_shingles, r.class_id, r.n_links)
+           for r in jaccard_join.link_counts(df, k, percent, group_tokens=tokens, pair_sets=each).collect()}
+    assert got == {d: (len(s), class_of[d], sum(d in x for x in links)) for d, s in sets.items()}
+
+
 def test_trie_links_against_all_pairs():
     rng = np.random.default_rng(2)
     base = [rng.choice(400, 60, replace=False) for _ in range(6)]
