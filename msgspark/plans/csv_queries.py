@@ -192,6 +192,14 @@ def ragged_rows(spark, sf):
     return r.select("row_id", F.col("line_no").cast("bigint").alias("line_no"), "text", F.col("problem").isNotNull().alias("too_short"))
 
 
+@query("ragged_lines")
+def ragged_lines(spark, sf):
+    # all lines and all rows; the check SQL of ragged_rows leaves out quotes and blank texts
+    lines = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "value"))
+    return csv_files.ragged_fields(lines, text_pos=1).select(
+        "row_id", F.col("line_no").cast("bigint").alias("line_no"), "text", F.col("problem").isNotNull().alias("too_short"))
+
+
 # ---- round trips through files -------------------------------------------------------------------
 def scratch(spark, name: str) -> str:
     """A new folder under the shared checkpoint folder."""

@@ -182,12 +182,37 @@ def read_ragged(spark: SparkSession, paths: str | list[str], *, text_pos: int =
     return ragged_fields(lines, text_pos=text_pos).select("path", "_seq", "fields", "text", "problem")
 
 
+def line_fields(line: str) -> list[str]:
+    """Fields of one line as ``csv.reader`` gives them: a quote counts where a field starts, and may stay open."""
+    fields, i = [], 0
+    while True:
+        part = []
+        if line.startswith('"', i):
+            i += 1
+            while True:
+                j = line.find('"', i)
+                part.append(line[i:] if j < 0 else line[i:j])
+                i = len(line) if j < 0 else j + 1
+                if not line.startswith('"', i):
+                    break
+                part.append('"')
+                i += 1
+        j = line.find(",", i)
+        fields.append("".join(part) + (line[i:] if j < 0 else line[i:j]))
+        if j < 0:
+            return fields
+        i = j + 1
+
+
+@F.udf(returnType=ArrayType(StringType()), useArrow=True)
+def _quoted_fields(line):
+    return None if line is None else line_fields(line)
+
+
 def ragged_fields(lines: DataFrame, *, value: str = "value", text_pos: int = 0) -> DataFrame:
     """Split raw CSV lines into ``fields`` and pick ``text``; blank rows are dropped."""
-    outside_quotes = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
-    raw = F.split(value, outside_quotes)
-    fields = F.transform(raw, lambda c: F.when(
-        c.rlike(r'^"[\s\S]*"$'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+    quoted = F.contains(value, F.lit('"'))
+    fields = F.when(quoted, _quoted_fields(F.when(quoted, F.col(value)))).otherwise(F.split(value, ","))
     out = lines.withColumn("fields", fields).filter(F.exists("fields", lambda c: strip(c) != ""))
     short = F.size("fields") <= text_pos
     text = F.nullif(strip(F.get("fields", F.lit(text_pos))), F.lit(""))

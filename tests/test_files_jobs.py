@@ -142,3 +142,19 @@ def test_retention_edges(spark):
                                  "job_id string, status string, completed_at timestamp_ntz, created_at timestamp_ntz, result_file_path string")
     got = {r["job_id"]: r["reason"] for r in J.expired_jobs(jobs, F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")).collect()}
     assert got == {"done_old": "expired", "failed_old": "failed", "failed_open": "failed"}
+
+
+def test_ragged_lines_returns_quoted_and_blank_rows(spark, tmp_path):
+    import csv
+
+    from msgspark.plans.csv_queries import ragged_lines
+
+    texts = ['a,b,c\na,,b\n"x, y","say ""hi"" now",z\nhe said, "no, never\n , \n"open, to the end\n"a"b"c,d"e\n,"",\nshort', 'p,"q",r']
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for d, text in enumerate(texts):
+        for i, line in enumerate(text.split("\n")):
+            f = next(csv.reader([line]))
+            if any(x.strip() for x in f):
+                want.append((d, i, (f[1].strip() or None) if len(f) > 1 else None, len(f) < 2))
+    assert sorted(tuple(r) for r in ragged_lines(spark, str(tmp_path)).collect()) == want
