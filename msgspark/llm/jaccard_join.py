@@ -336,23 +336,23 @@ def link_sets(sets: list[np.ndarray], counts: np.ndarray, percent: int) -> list[
 
 
 def link_units(rows: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """(a, b) links inside each unit of ``rows`` (unit, key, set); a unit has bounded size."""
+    """(a, b) links inside each unit of ``rows`` (unit, key, one, two, set); a unit has bounded size."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        held: dict[tuple, np.ndarray] = {}  # a key may come with several sets
         unit, out = None, []
 
         def flush() -> None:
             if len(held) > 1:
                 keys = list(held)
-                out.extend((keys[i], keys[j]) for i, j in link_sets(list(held.values()), counts, percent))
+                out.extend((keys[i][0], keys[j][0]) for i, j in link_sets(list(held.values()), counts, percent))
             held.clear()
 
         for batch in batches:
-            for u, key, s in zip(*(batch.column(c).to_pylist() for c in ("unit", "key", "set")), strict=True):
+            for u, *key, s in zip(*(batch.column(c).to_pylist() for c in ("unit", "key", "one", "two", "set")), strict=True):
                 if u != unit:
                     flush()
                     unit = u
-                held[key] = np.frombuffer(s, np.uint64)
+                held[tuple(key)] = np.frombuffer(s, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
             out.clear()
         flush()
@@ -427,6 +427,9 @@ def link_components(docs: DataFrame, size: int = 4, percent: int = 85, text_col:
     links = written(link_units(sets_of(texts, wanted, size), counts, percent), "links")
     if not many.isEmpty():
         links = links.unionByName(written(link_units(sets_of(texts, _rest(many, links), size), counts, percent), "links"))
+    # rows of one doc_id count as linked, whatever classes they are in
+    several = members.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z").drop("z")
+    links = links.unionByName(members.join(several, "key").select("a", F.col("rep").alias("b")).distinct())
     found = components(links)
     out = members.join(found, members.rep == found.node, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("c"), "rep")

@@ -260,6 +260,14 @@ def test_trie_links_against_all_pairs():
                 assert find(i) == find(j)
 
 
+def test_prefix_tree_join_one_doc_id_with_different_texts(spark):
+    text = lambda p, n=30: " ".join(f"{p}{i}" for i in range(n))
+    rows = [(5, text("a")), (5, text("b")), (7, text("a") + " x"), (8, text("b") + " x"),  # 5 represents both
+            (3, text("c")), (9, text("c")), (9, text("d")), (10, text("d") + " x"), (11, text("e"))]
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.link_components(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(5, 5), (7, 5), (8, 5), (3, 3), (9, 3), (10, 3), (11, 11)}
+
+
 def brute_groups(sets, percent):
     groups = [{i} for i in range(len(sets))]
     for i in range(len(sets)):
