@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_cnn, fm_dedup, jaccard_join, mixing, piece_nbest, quality_rules, rp_forest, sharding, suffix_dedup, token_file
+from . import byte_cnn, fm_dedup, jaccard_join, mixing, period_runs, piece_nbest, quality_rules, rp_forest, sharding
+from . import suffix_dedup, token_file
 from .storage import documents, spread
 
 QUERIES: dict = {}
@@ -205,3 +206,52 @@ select t.doc_id, coalesce(n, 0) as n_shingles, coalesce(n_links, 0) as n_links,
        coalesce(min(t.doc_id) over (partition by case when n > 0 then digest else t.doc_id::varchar end), t.doc_id) as class_id
 from texts t left join per_doc on x = t.doc_id left join sizes s on s.doc_id = t.doc_id
 """
+
+
+@query
+def op11_tiled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return period_runs.report(spread(documents(spark, sf_dir)), plant=True)
+
+
+#: crc32 of a number's digits, from the polynomial 0xEDB88320.
+_CRC32 = """crc_table as materialized (
+  select list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k:
+    case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) as t),
+crc as materialized (
+  select doc_id, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda d: ascii(d)::bigint)),
+    lambda c, b: xor(c // 256, t[(xor(c, b) % 256) + 1])), 4294967295) as h from (select distinct doc_id from documents), crc_table)"""
+
+ORACLES["op11_tiled_runs"] = rf"""
+with {_CRC32},
+texts as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w, h % 10 = 0 as hit, h // 10 as g
+  from documents join crc using (doc_id)),
+laid as (
+  select doc_id, w, hit and len(w) > 0 as hit, case when len(w) > 0 then g % len(w) end as a, g from texts),
+words as materialized (
+  select doc_id, case when hit then list_transform(range(len(w)), lambda i:
+    case when i < a then w[i + 1] else w[a + (i - a) % (1 + (len(w) - a) // (3 + g % 8)) + 1] end) else w end as w from laid),
+periods as (select doc_id, w, unnest(range(1, len(w) // 4 + 1)) as q from words),
+starts as (select doc_id, w, q, unnest(range(0, len(w) - 2 * q, q)) as i from periods),
+likely as (select distinct doc_id, q from starts where w[i + 1] = w[i + q + 1] and w[i + q + 1] = w[i + 2 * q + 1]),
+agree as (
+  select doc_id, q, i from (select l.doc_id, q, w, unnest(range(0, len(w) - q)) as i from likely l join words t on l.doc_id = t.doc_id)
+  where w[i + 1] = w[i + q + 1]),
+islands as (
+  select doc_id, q, min(i) as s, count(*) + q as n from (
+    select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) as k from agree) group by doc_id, q, k),
+runs as materialized (
+  select doc_id, s, n, min(q) as q from islands where n >= greatest(6, 4 * q) group by doc_id, s, n),
+listed as (
+  select doc_id, count(*) as n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' order by s, q) as x from runs group by doc_id),
+best as (
+  select doc_id, s, n, q from runs r where not exists (
+    select 1 from runs o where o.doc_id = r.doc_id and (o.n * r.q > r.n * o.q or (o.n * r.q = r.n * o.q and (o.s, o.q) < (r.s, r.q))))),
+gone as (select distinct doc_id, unnest(range(s + q, s + n)) as i from runs),
+placed as (select doc_id, w[i + 1] as x, i from (select doc_id, w, unnest(range(0, len(w))) as i from words)),
+kept as (
+  select p.doc_id, string_agg(x, ' ' order by p.i) as x from placed p anti join gone g on p.doc_id = g.doc_id and p.i = g.i group by p.doc_id)
+select t.doc_id, coalesce(n_runs, 0) as n_runs, s as start, n as length, q as period, (1000 * n) // q as exponent_milli,
+       sha256(coalesce(l.x, '')) as runs_sha256, sha256(coalesce(k.x, '')) as collapsed_sha256
+from words t left join listed l on t.doc_id = l.doc_id left join best b on t.doc_id = b.doc_id left join kept k on t.doc_id = k.doc_id
+"""
