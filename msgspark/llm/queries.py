@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_cnn, fm_dedup, jaccard_join, mixing, period_runs, piece_nbest, quality_rules, rp_forest, sharding
+from . import byte_cnn, divergence, fm_dedup, jaccard_join, mixing, period_runs, piece_nbest, quality_rules, rp_forest, sharding
 from . import suffix_dedup, token_file
 from .storage import documents, spread
 
@@ -255,3 +255,42 @@ select t.doc_id, coalesce(n_runs, 0) as n_runs, s as start, n as length, q as pe
        sha256(coalesce(l.x, '')) as runs_sha256, sha256(coalesce(k.x, '')) as collapsed_sha256
 from words t left join listed l on t.doc_id = l.doc_id left join best b on t.doc_id = b.doc_id left join kept k on t.doc_id = k.doc_id
 """
+
+
+@query
+def op12_perfect_hash_recount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(spread(documents(spark, sf_dir)))
+
+
+ORACLES["op12_perfect_hash_recount"] = r"""
+with texts as (
+  select row_number() over () as i, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as words from documents),
+used as materialized (select i, lang, source, t, count(*) as n from (
+  select i, lang, source, unnest(words) as t from texts) group by all),
+kept as materialized (select lang, t, sum(n)::hugeint as m from used group by lang, t having count(*) >= 3),
+counts as materialized (
+  select lang, source, t, sum(n)::hugeint as n from used join kept using (lang, t) group by lang, source, t),
+groups as materialized (
+  select g.lang, g.source, coalesce(total, 0)::hugeint as total from (select distinct lang, source from texts) g
+  left join (select lang, source, sum(n) as total from counts group by lang, source) c on g.lang = c.lang and g.source = c.source),
+langs as (select lang, count(*)::hugeint as v, sum(m)::hugeint as total from kept group by lang),
+shares as materialized (
+  select g.lang, g.source, k.t, coalesce(n, 0) as n, 1 + (1000000000 * (coalesce(n, 0) + 1)) // (g.total + l.v) as p,
+         1 + (1000000000 * (m + 1)) // (l.total + l.v) as q
+  from groups g join langs l on g.lang = l.lang join kept k on g.lang = k.lang
+  left join counts c on c.lang = g.lang and c.source = g.source and c.t = k.t),
+sums as (
+  select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p)::bigint as value
+  from shares a join shares b on a.lang = b.lang and a.t = b.t and a.source <> b.source group by 1, 2, 3),
+pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+terms as (
+  select lang, source, 'term' as part, t as item, (((p - q) * (p - q)) // q)::bigint as value from shares where n > 0 and p > q)
+select *, row_number() over (partition by lang, source order by value desc, encode(item)) as rank from pairs
+union all
+select * from (select *, row_number() over (partition by lang, source order by value desc, encode(item)) as rank from terms) where rank <= 200
+"""
