@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_cnn, divergence, fm_dedup, jaccard_join, mixing, period_runs, piece_nbest, quality_rules, rp_forest, sharding
+from . import byte_cnn, divergence, fm_dedup, jaccard_join, lm_score, mixing, period_runs, piece_nbest, quality_rules, rp_forest, sharding
 from . import suffix_dedup, token_file
 from .storage import documents, spread
 
@@ -294,3 +294,9 @@ select *, row_number() over (partition by lang, source order by value desc, enco
 union all
 select * from (select *, row_number() over (partition by lang, source order by value desc, encode(item)) as rank from terms) where rank <= 200
 """
+
+
+@query
+def op13_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(documents(spark, sf_dir))
+    return lm_score.score(docs, lm_score.fit(docs))
