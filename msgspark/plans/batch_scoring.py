@@ -20,7 +20,8 @@ def score_files(spark: SparkSession, paths: str | list[str], terms: DataFrame, p
     that fails the abort gate keeps the rows up to it, marked ``partial``; ``gated_emails`` counts the rows it lost. A file whose
     layout is not recognised is a failed job with its reason.
     """
-    read = csv_files.read_messages(spark, paths, min_confidence=min_confidence)
+    profile = cut_lineage(csv_files.profile_files(spark, paths))
+    read = csv_files.read_messages(spark, paths, min_confidence=min_confidence, profile=profile)
     numbered = csv_files.number_messages(clean_messages(read, on_long=on_long))
     rows = cut_lineage(numbered.withColumn("message_id", F.concat_ws("#", "path", F.col("email_index").cast("string"))))
     checked = rows.withColumn("error_message", S.scoring_error("text", fv.MAX_MESSAGE if on_long != "keep" else None))
@@ -40,7 +41,7 @@ def score_files(spark: SparkSession, paths: str | list[str], terms: DataFrame, p
     done = total.join(done, "job_id", "left").withColumns({
         "gated_emails": F.col("total_emails") - F.coalesce("processed_emails", F.lit(0)),
         "failure": F.lit(None).cast("string")})
-    failed = csv_files.rejected_files(spark, paths, min_confidence=min_confidence).select(
+    failed = csv_files.rejected_files(spark, paths, min_confidence=min_confidence, profile=profile).select(
         F.col("path").alias("job_id"), F.lit("failed").alias("status"), F.col("reason").alias("failure"))
     jobs = done.unionByName(failed, allowMissingColumns=True).withColumns(
         {"completed_at": stamp, "result_file_path": F.lit(results_path)})
