@@ -166,3 +166,15 @@ def file_name_error(c, allowed: tuple[str, ...] = ("csv", "txt")) -> Column:
               F.concat(F.lit("Invalid file format '"), shown,
                        F.lit(f"'. Please upload a file with one of these formats: {listed}")))
     )
+
+
+def file_head_error(name, start, first_row) -> Column:
+    """Why an uploaded CSV file is refused by its first characters and the fields of its first row, null when it is fine.
+
+    Files of other kinds are not looked into; a null ``first_row`` (a head that was not read) passes.
+    """
+    row = _col(first_row)
+    blank = row.isNotNull() & ~F.exists(row, lambda c: F.coalesce(strip(c), F.lit("")) != "")
+    return F.when(strip(F.lower(_col(name))).endswith(".csv"), F.when(
+        strip(F.coalesce(_col(start), F.lit(""))) == "", "The CSV file appears to be empty. Please upload a file with email data.").when(
+        blank, "The CSV file has no valid data in the first row. Please ensure your file contains email data."))

@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, StringType
 from ..functions.text import strip
 from ..operators.ranking import global_rank
 from ..operators.rows import clean_labelled
-from ..operators.validate import file_name_error, validate_messages
+from ..operators.validate import file_head_error, file_name_error, validate_messages
 from ..session import cut_lineage
 from . import headers as H, quoted_csv
 
@@ -261,17 +261,10 @@ def read_flexible(spark: SparkSession, paths: str | list[str], *, min_confidence
 
 def upload_check(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, error): why a file is not taken, by its name and its first FIRST_BYTES bytes; null if it is."""
-    heads = file_heads(spark, paths)
-    start = F.coalesce(F.make_valid_utf8(F.col("first_kb").cast("string")), F.lit(""))
-    first = F.get(F.col("records"), F.lit(0))
-    blank_row = first.isNull() | ~F.exists(first, lambda c: strip(c) != "")
-    csv_name = F.lower("path").endswith(".csv")
-    return heads.withColumn("name", F.element_at(F.split("path", "/"), -1)).select(
-        "path", F.coalesce(
-            file_name_error("name"),
-            F.when(csv_name & (strip(start) == ""), "The CSV file appears to be empty. Please upload a file with email data."),
-            F.when(csv_name & F.col("head_error").isNull() & blank_row,
-                   "The CSV file has no valid data in the first row. Please ensure your file contains email data.")).alias("error"))
+    heads = file_heads(spark, paths).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    start = F.make_valid_utf8(F.col("first_kb").cast("string"))
+    first = F.when(F.col("head_error").isNull(), F.coalesce(F.get("records", F.lit(0)), F.array().cast("array<string>")))
+    return heads.select("path", F.coalesce(file_name_error("name"), file_head_error("name", start, first)).alias("error"))
 
 
 def number_messages(df: DataFrame) -> DataFrame:
