@@ -7,16 +7,15 @@ as the engine does it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed_values as fv
 from ..operators.scoring import score_messages
 from ..operators.telemetry import epoch_micros, threshold_alerts
+from .state import LatestIds, RateLimiter, use_rocksdb
 
 
 def _event_time(df: DataFrame, ts: str, late: str) -> DataFrame:
@@ -87,37 +86,18 @@ def send_alerts(alerts: DataFrame, handlers: list[Callable[[DataFrame, int], Non
 
 def rate_limit_stream(requests: DataFrame, *, limit: int = 100, window_minutes: float = 60, client: str = "client",
                       ts: str = "ts", request_id: str = "request_id", late: str = "1 hour") -> DataFrame:
-    """(client, request_id, accepted) with the accepted times of the window as state.
+    """(client, request_id, accepted), decided in the order of time within each micro-batch.
 
     State is at most ``limit`` times per client and is dropped once the event time has
     passed the window of the last accepted request.
     """
-    span = int(window_minutes * 60_000_000)
-
-    def decide(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        taken = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["at", "request_id"])
-        accepted = []
-        for at in rows["at"]:
-            taken = [t for t in taken if t > at - span]
-            accepted.append(len(taken) < limit)
-            if accepted[-1]:
-                taken.append(int(at))
-        state.update((taken,))
-        if taken:
-            state.setTimeoutTimestamp(max((taken[-1] + span) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"client": key[0], "request_id": rows["request_id"], "accepted": accepted})
-
+    use_rocksdb(requests.sparkSession)
     keyed = _event_time(requests, ts, late).select(
         F.col(client).alias("client"), F.col(request_id).alias("request_id"), ts, epoch_micros(ts).alias("at"))
     key_type = keyed.schema["client"].dataType.simpleString()
     id_type = keyed.schema["request_id"].dataType.simpleString()
-    return keyed.groupBy("client").applyInPandasWithState(
-        decide, f"client {key_type}, request_id {id_type}, accepted boolean", "taken array<bigint>", "append",
-        GroupStateTimeout.EventTimeTimeout)
+    return keyed.groupBy("client").transformWithStateInPandas(
+        RateLimiter(limit, int(window_minutes * 60_000_000)), f"client {key_type}, request_id {id_type}, accepted boolean", "append", "EventTime")
 
 
 def error_count_stream(errors: DataFrame, *, ts: str = "ts") -> DataFrame:
@@ -127,21 +107,11 @@ def error_count_stream(errors: DataFrame, *, ts: str = "ts") -> DataFrame:
 
 
 def error_pattern_stream(errors: DataFrame, n: int = 100, *, ts: str = "ts", error_id: str = "error_id") -> DataFrame:
-    """The ids of the ``n`` latest errors per component and operation (update mode)."""
-
-    def keep(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get)) if state.exists else []
-        for pdf in batches:
-            held += list(zip(pdf["at"].astype(int), pdf["error_id"].astype(int)))
-            held = sorted(held)[-n:]
-        at, ids = [int(h[0]) for h in held], [int(h[1]) for h in held]
-        state.update((at, ids))
-        yield pd.DataFrame({"component": [key[0]], "operation": [key[1]], "error_ids": [ids]})
-
+    """The ids of the ``n`` latest errors per component and operation, by every micro-batch that has some (update mode)."""
+    use_rocksdb(errors.sparkSession)
     rows = errors.select("component", "operation", F.col(error_id).cast("bigint").alias("error_id"), epoch_micros(ts).alias("at"))
-    return rows.groupBy("component", "operation").applyInPandasWithState(
-        keep, "component string, operation string, error_ids array<bigint>", "at array<bigint>, ids array<bigint>",
-        "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("component", "operation").transformWithStateInPandas(
+        LatestIds(n), "component string, operation string, error_ids array<bigint>", "update", "None")
 
 
 def dedup_stream(messages: DataFrame, *, text: str = "text", ts: str = "ts", within: str = "1 day") -> DataFrame:

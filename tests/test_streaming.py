@@ -100,3 +100,37 @@ def test_dedup(spark, tmp_path):
     src = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     got = drain(S.dedup_stream(src), "dedup").collect()
     assert len(got) == 5 and {r["text"] for r in got} == {f"text {i}" for i in range(5)}
+
+
+def test_resumed_equals_uninterrupted_and_late_rows_are_dropped(spark, sf, tmp_path):
+    from msgspark.plans import all_queries, stream_queries as Q  # noqa: F401  the first fills the registry
+
+    arriving = Q.late_requests(spark, sf).cache()
+    build = lambda r: S.request_stats(r, every="1 hour")
+    key = lambda df: sorted((r["window_start"], r["processed"]) for r in df.collect())
+    whole = key(Q.run_in_parts(arriving, str(tmp_path / "a"), build, "append"))
+    resumed = key(Q.run_in_parts(arriving, str(tmp_path / "b"), build, "append", stop_after=2))
+    assert whole == resumed and len({w for w, _ in whole}) == len(whole)
+    assert sum(n for _, n in whole) < arriving.count()  # the late ones are gone, so is what the watermark has not passed
+
+
+def test_rate_limit_of_one_hot_client_in_many_chunks(spark, tmp_path):
+    from test_files_jobs import brute_limit
+
+    import random
+
+    rng = random.Random(8)
+    start = dt.datetime(2024, 5, 1)
+    rows = [(i, "hot" if i % 10 else "cold", start + dt.timedelta(seconds=rng.randrange(0, 86400))) for i in range(4000)]
+    df = spark.createDataFrame(rows, "request_id bigint, client string, ts timestamp_ntz")
+    df.repartition(6).write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
+    try:
+        src = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        got = {r["request_id"]: r["accepted"] for r in drain(S.rate_limit_stream(src, limit=7, window_minutes=60), "hot_limits").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for c in ("hot", "cold"):
+        mine = sorted((r[2].timestamp(), r[0]) for r in rows if r[1] == c)
+        assert [got[i] for _, i in mine] == brute_limit([t for t, _ in mine], 7, 3600)
