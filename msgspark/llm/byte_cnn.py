@@ -27,6 +27,7 @@ WIDTH, STRIDE, HALF, FILTERS = 8, 4, 128, 32
 SAMPLE, EPOCHS, BATCH, RATE = 2400, 6, 24, 3e-3
 PIECE = 1 << 20
 PAD = 256
+DIGITS = 5  # of a score: sums of 32-bit numbers differ beyond them with the rows beside a text
 
 
 def byte_features(seed: int = 5) -> np.ndarray:
@@ -50,9 +51,10 @@ class Network:
         self.bias = np.zeros(1, np.float32)
 
     def laid_out(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Texts padded to whole half chunks (one at least), and the half chunks of each."""
+        """Texts padded to whole half chunks, and the half chunks of each. The padding is at least as long as a window reaches
+        into the next half chunk, so no window of a text sees bytes of the next one."""
         n = np.diff(offsets)
-        halves = np.maximum(1, -(-n // HALF))
+        halves = -(-(n + WIDTH - STRIDE) // HALF)
         out = np.full(int(halves.sum()) * HALF + WIDTH, PAD, np.int16)
         out[spans((np.cumsum(halves) - halves) * HALF, n)] = data[offsets[0]: offsets[-1]]
         return out, halves
@@ -165,7 +167,7 @@ def score(docs: DataFrame, net: Network, text_col: str = "text", id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, limit=PIECE):
-                scores = model.value.score(*utf8(part.column("text")))
+                scores = np.round(model.value.score(*utf8(part.column("text"))), DIGITS)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(scores),
                                                   pa.array((scores >= 0.5).astype(np.int32))],
                                                  ["doc_id", "held_out", "score", "predicted"])

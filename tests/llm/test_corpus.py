@@ -200,3 +200,33 @@ def test_intermediate_tables_can_be_deleted(spark):
     assert storage.clear(spark) == 1 and storage.clear(spark) == 0
     with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
         spark.read.parquet(file)
+
+
+def direct_score(net, data):
+    """The network's score of one text, window by window."""
+    n_halves = -(-(len(data) + byte_cnn.WIDTH - byte_cnn.STRIDE) // byte_cnn.HALF)
+    padded = np.r_[np.frombuffer(data, np.uint8).astype(int), np.full(n_halves * byte_cnn.HALF + byte_cnn.WIDTH - len(data), byte_cnn.PAD)]
+    filters, offset, unit = (x.astype(np.float64) for x in (net.filters, net.offset, net.unit))
+    out = np.array([net.features[padded[i: i + byte_cnn.WIDTH]].astype(np.float64).ravel() @ filters + offset
+                    for i in range(0, n_halves * byte_cnn.HALF, byte_cnn.STRIDE)]).reshape(n_halves, -1, byte_cnn.FILTERS)
+    halves = np.maximum(out.max(1), 0)
+    chunks = np.array([np.maximum(halves[i], halves[i + 1]) for i in range(n_halves - 1)]) if n_halves > 1 else halves
+    return 1 / (1 + np.exp(-(np.r_[chunks.max(0), chunks.min(0), chunks.mean(0)] @ unit + float(net.bias[0]))))
+
+
+def test_a_byte_score_depends_on_its_text_alone():
+    net = byte_cnn.Network()
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in (0, 1, 120, 123, 124, 125, 126, 127, 128, 129, 252, 256, 700, 4000)]
+    offsets = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
+    together = net.score(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    for t, s in zip(texts, together):
+        alone = net.score(np.frombuffer(t, np.uint8), np.array([0, len(t)], np.int64))[0]
+        assert s == pytest.approx(alone, abs=1e-6) and s == pytest.approx(direct_score(net, t), abs=1e-5)
+
+
+def test_byte_scores_do_not_depend_on_partitions(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    net = byte_cnn.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    one, two = (sorted((r.doc_id, round(r.score, 4)) for r in byte_cnn.score(d, net).collect()) for d in (docs.coalesce(1), docs.repartition(7)))
+    assert [d for d, _ in one] == [d for d, _ in two] and max(abs(a - b) for (_, a), (_, b) in zip(one, two)) <= 1.1e-4
