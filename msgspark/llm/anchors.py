@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .batches import slices, spans, utf8
@@ -93,8 +94,11 @@ def word_values(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         ends[:-1] &= ~word[1:]
         ends[cut - 1] = word[cut - 1]
         s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-        p, inverse = prefix_sums(BYTE_VALUES[data[a:b]]), powers(b - a + 1)[1]
-        values.append(mix((p[e] - p[s]) * inverse[s] + (e - s).astype(np.uint64) * M3))
+        at = np.zeros(len(s) + 1, np.int64)
+        np.cumsum(e - s, out=at[1:])
+        own = pa.Array.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(at), pa.py_buffer(data[a:b][word])]).dictionary_encode()
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, own.dictionary.to_pylist()), np.uint64, len(own.dictionary))
+        values.append(hashes[own.indices.to_numpy()])
         counts += np.searchsorted(s + a, offsets, side="left")
         a = b
     return (np.concatenate(values) if values else np.zeros(0, np.uint64)), counts
@@ -161,8 +165,18 @@ def texts_of(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
         "doc_id", F.coalesce("doc_id", F.lit(LOWEST)).alias("key"), "text")
 
 
+def tagged(texts: DataFrame) -> DataFrame:
+    """``texts`` with ``tag``, which tells different texts under one key apart: 0 where a key has one text, else its hash."""
+    digest = F.xxhash64("text")
+    shared = written(texts.groupBy("key").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).filter("a <> b").select("key"), "shared")
+    if shared.isEmpty():
+        return texts.withColumn("tag", F.lit(0).cast("long"))
+    known = texts.join(shared.withColumn("_shared", F.lit(True)), "key", "left")
+    return known.withColumn("tag", F.when(F.col("_shared"), digest).otherwise(F.lit(0))).drop("_shared")
+
+
 def anchor_rows(texts: DataFrame, scheme: Scheme, symbols: Symbols) -> DataFrame:
-    """(h, context, key, at) of each anchor; at = position * 2^10 + right.
+    """(h, context, key, tag, at) of each anchor; at = position * 2^10 + right.
 
     Copies that meet in one slice of a batch are settled on the spot: the later ones get at < 0 and a
     key of their own instead of their anchor's, so a hot group arrives as one row for each slice.
@@ -171,11 +185,11 @@ def anchor_rows(texts: DataFrame, scheme: Scheme, symbols: Symbols) -> DataFrame
         for batch in batches:
             for part in slices(batch, limit=PIECE):
                 values, offsets = symbols(*utf8(part.column("text")))
-                keys = part.column("key").to_numpy(zero_copy_only=False)
+                keys, tags = (part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "tag"))
                 for text, pos, right, h, context in find(values, offsets, scheme):
-                    key, at = keys[text], (pos << PLACE_BITS) | right
+                    key, tag, at = keys[text], tags[text], (pos << PLACE_BITS) | right
                     order = np.lexsort((at, key, context, h))
-                    key, at, h, context = key[order], at[order], h[order], context[order]
+                    key, tag, at, h, context = key[order], tag[order], at[order], h[order], context[order]
                     new = np.r_[True, (h[1:] != h[:-1]) | (context[1:] != context[:-1])]
                     first = np.flatnonzero(new)[np.cumsum(new) - 1]
                     later = key > key[first]
@@ -184,13 +198,13 @@ def anchor_rows(texts: DataFrame, scheme: Scheme, symbols: Symbols) -> DataFrame
                     salt = mix(key.astype(np.uint64) * M1 + at.astype(np.uint64))
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.where(later, salt, h).view(np.int64)), pa.array(context.view(np.int64)), pa.array(key),
-                        pa.array(np.where(later, -at - 1, at))], ["h", "context", "key", "at"])
+                        pa.array(tag), pa.array(np.where(later, -at - 1, at))], ["h", "context", "key", "tag", "at"])
 
-    return texts.select("key", "text").mapInArrow(run, "h long, context long, key long, at long")
+    return texts.select("key", "tag", "text").mapInArrow(run, "h long, context long, key long, tag long, at long")
 
 
 def spots(texts: DataFrame, scheme: Scheme, symbols: Symbols, hot: int) -> DataFrame:
-    """(key, at, h, kind): where repeats are (kind "span") and which contexts must be compared ("ask").
+    """(key, tag, at, h, kind): where repeats are (kind "span") and which contexts must be compared ("ask").
 
     Written once. Rows meet by anchor hash; a context with an earlier equal one is a span, any other context
     whose anchor is met with another context is asked for ("hot" if over ``hot`` contexts differ).
@@ -203,7 +217,7 @@ def spots(texts: DataFrame, scheme: Scheme, symbols: Symbols, hot: int) -> DataF
     leads = (F.col("key") == F.col("top.key")) & (F.col("at") == F.col("top.at"))
     kind = F.when(F.col("at") < 0, "span").when(later, "span").when(F.col("n") > hot, "hot").when(F.col("n") > 1, "ask")
     found = rows.withColumn("n", F.sum(leads.cast("long")).over(anchor)).select(
-        "key", F.when(F.col("at") < 0, -F.col("at") - 1).otherwise(F.col("at")).alias("at"), "h", kind.alias("kind"))
+        "key", "tag", F.when(F.col("at") < 0, -F.col("at") - 1).otherwise(F.col("at")).alias("at"), "h", kind.alias("kind"))
     return written(found.filter("kind is not null"), "spots")
 
 
@@ -215,17 +229,17 @@ def first_of(at: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
 
 
 def context_spans(found: DataFrame, scheme: Scheme) -> DataFrame:
-    """(key, span) of the settled contexts; span = first symbol * 2^10 + length."""
+    """(key, tag, span) of the settled contexts; span = first symbol * 2^10 + length."""
     pos, right = F.shiftright("at", PLACE_BITS), F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
     left = F.least(F.lit(scheme.before).cast("long"), pos)
     return found.filter("kind = 'span'").select(
-        "key", (F.shiftleft(pos - left, PLACE_BITS) + left + right).alias("span"))
+        "key", "tag", (F.shiftleft(pos - left, PLACE_BITS) + left + right).alias("span"))
 
 
 def asked(texts: DataFrame, found: DataFrame, kind: str) -> DataFrame:
-    """(key, text, asks): each text that has contexts of ``kind`` with their (at, h)."""
-    asks = found.filter(F.col("kind") == kind).groupBy("key").agg(F.collect_list(F.struct("at", "h")).alias("asks"))
-    return texts.join(asks, "key").select("key", "text", "asks")
+    """(key, tag, text, asks): each text that has contexts of ``kind`` with their (at, h)."""
+    asks = found.filter(F.col("kind") == kind).groupBy("key", "tag").agg(F.collect_list(F.struct("at", "h")).alias("asks"))
+    return texts.join(asks, ["key", "tag"]).select("key", "tag", "text", "asks")
 
 
 def merged(starts: np.ndarray, run: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -236,7 +250,7 @@ def merged(starts: np.ndarray, run: np.ndarray, window: int) -> tuple[np.ndarray
 
 
 def compared(texts: DataFrame, found: DataFrame, scheme: Scheme, symbols_of: Callable, kernel: Callable) -> DataFrame:
-    """(key, span) of the repeats inside contexts that differ although their anchors agree.
+    """(key, tag, span) of the repeats inside contexts that differ although their anchors agree.
 
     ``symbols_of(text)`` gives a text's symbols as an array; ``kernel(symbols, offsets, keys, firsts)`` gets whole
     anchor groups of about a megabyte together and returns (context, window start) of the repeats.
@@ -247,12 +261,10 @@ def compared(texts: DataFrame, found: DataFrame, scheme: Scheme, symbols_of: Cal
                 symbols, asks = symbols_of(batch.column("text")[i].as_py()), batch.column("asks")[i].values
                 at, h = (asks.field(c).to_numpy(zero_copy_only=False) for c in ("at", "h"))
                 first, length = first_of(at, scheme)
-                ok = first + length <= len(symbols)  # another text under the same id
-                first, length, h = first[ok], length[ok], h[ok]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(h), pa.array(np.full(len(h), batch.column("key")[i].as_py(), np.int64)), pa.array(first),
+                    pa.array(h), *(pa.array(np.full(len(h), batch.column(c)[i].as_py(), np.int64)) for c in ("key", "tag")), pa.array(first),
                     pa.array([symbols[a: a + n].tobytes() for a, n in zip(first, length, strict=True)], pa.binary())],
-                    ["h", "key", "first", "data"])
+                    ["h", "key", "tag", "first", "data"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -260,15 +272,15 @@ def compared(texts: DataFrame, found: DataFrame, scheme: Scheme, symbols_of: Cal
 
         def flush(table: pa.Table) -> pa.RecordBatch:
             data = table.column("data").to_pylist()
-            keys, firsts = (table.column(c).to_numpy() for c in ("key", "first"))
+            keys, tags, firsts = (table.column(c).to_numpy() for c in ("key", "tag", "first"))
             lengths = np.array([len(x) for x in data], np.int64) // symbol_size
             symbols = np.frombuffer(b"".join(data), symbol_type)
             context, start = kernel(symbols, np.r_[0, np.cumsum(lengths)], keys, firsts)
             if not len(start):
-                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["key", "span"])
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, ["key", "tag", "span"])
             row, length = merged(start, context, scheme.window)
-            return pa.RecordBatch.from_arrays([pa.array(keys[context[row]]), pa.array(
-                (start[row] << PLACE_BITS) | length)], ["key", "span"])
+            return pa.RecordBatch.from_arrays([pa.array(keys[context[row]]), pa.array(tags[context[row]]), pa.array(
+                (start[row] << PLACE_BITS) | length)], ["key", "tag", "span"])
 
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
@@ -288,12 +300,12 @@ def compared(texts: DataFrame, found: DataFrame, scheme: Scheme, symbols_of: Cal
 
     symbol_type = np.asarray(symbols_of("")).dtype
     symbol_size = symbol_type.itemsize
-    contexts = asked(texts, found, "ask").mapInArrow(cut, "h long, key long, first long, data binary")
-    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(search, "key long, span long")
+    contexts = asked(texts, found, "ask").mapInArrow(cut, "h long, key long, tag long, first long, data binary")
+    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(search, "key long, tag long, span long")
 
 
 def hot_spans(texts: DataFrame, found: DataFrame, scheme: Scheme, symbols_of: Callable) -> DataFrame:
-    """(key, span) of repeats among the contexts of hot anchors, window by window.
+    """(key, tag, span) of repeats among the contexts of hot anchors, window by window.
 
     Each window goes under its own 128-bit hash and the earliest place of a hash is found with partial sums, so
     an anchor that a third of all documents share is spread over as many keys as it has different windows.
@@ -305,8 +317,7 @@ def hot_spans(texts: DataFrame, found: DataFrame, scheme: Scheme, symbols_of: Ca
             for i in range(batch.num_rows):
                 symbols, asks = symbols_of(batch.column("text")[i].as_py()), batch.column("asks")[i].values
                 first, length = first_of(asks.field("at").to_numpy(zero_copy_only=False), scheme)
-                ok = first + length <= len(symbols)
-                start = np.unique(spans(first[ok], length[ok] - window + 1))
+                start = np.unique(spans(first, length - window + 1))
                 wide = BYTE_VALUES[symbols] if symbols.dtype == np.uint8 else symbols
                 one, two = (np.zeros(len(start), np.uint64) for _ in range(2))
                 for j in range(window):
@@ -314,25 +325,29 @@ def hot_spans(texts: DataFrame, found: DataFrame, scheme: Scheme, symbols_of: Ca
                     two = (two ^ wide[start + j]) * M3 + (two >> np.uint64(17))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
-                    pa.array(np.full(len(start), batch.column("key")[i].as_py(), np.int64)), pa.array(start)],
-                    ["one", "two", "key", "start"])
+                    *(pa.array(np.full(len(start), batch.column(c)[i].as_py(), np.int64)) for c in ("key", "tag")), pa.array(start)],
+                    ["one", "two", "key", "tag", "start"])
 
-    rows = asked(texts, found, "hot").mapInArrow(cut, "one long, two long, key long, start long")
+    rows = asked(texts, found, "hot").mapInArrow(cut, "one long, two long, key long, tag long, start long")
     tops = rows.groupBy("one", "two").agg(F.min(F.struct("key", "start")).alias("top"), F.count(F.lit(1)).alias("n"))
     later = F.col("key") > F.col("top.key")
     if scheme.same_doc:
         later = later | (F.col("start") > F.col("top.start"))
     return rows.join(tops.filter("n > 1"), ["one", "two"]).filter(later).select(
-        "key", (F.shiftleft("start", PLACE_BITS) + F.lit(window)).alias("span"))
+        "key", "tag", (F.shiftleft("start", PLACE_BITS) + F.lit(window)).alias("span"))
 
 
 def repeats(texts: DataFrame, scheme: Scheme, symbols: Symbols, symbols_of: Callable, kernel: Callable,
             hot: int) -> DataFrame:
-    """``texts`` with ``spans``: all (first * 2^10 + length) spans of a text covered by repeated windows, or null."""
+    """``texts`` with ``spans``: all (first * 2^10 + length) spans of a text covered by repeated windows, or null.
+
+    Different texts under one key have the same age and each its own spans.
+    """
+    texts = tagged(texts)
     found = spots(texts, scheme, symbols, hot)
     all_spans = context_spans(found, scheme).unionByName(
         compared(texts, found, scheme, symbols_of, kernel)).unionByName(hot_spans(texts, found, scheme, symbols_of))
-    return texts.join(all_spans.groupBy("key").agg(F.collect_list("span").alias("spans")), "key", "left")
+    return texts.join(all_spans.groupBy("key", "tag").agg(F.collect_list("span").alias("spans")), ["key", "tag"], "left")
 
 
 def covered(spans_of: pa.Scalar, n: int) -> np.ndarray:

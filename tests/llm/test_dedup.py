@@ -316,3 +316,28 @@ def test_components_of_a_chain_and_a_hub(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_different_texts_under_one_id_keep_their_own_spans(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("w", 20), ("q", 25), ("z", 40)))
+    rows = [(1, a), (2, a), (2, b), (None, c), (None, c + " tail"), (3, b), (None, b + " " + b)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r.doc_id or -1, r.n_words, r.n_removed) for r in fm_dedup.remove_repeats(df).collect())
+    assert got == [(-1, 40, 0), (-1, 41, 0), (-1, 50, 0), (1, 20, 0), (2, 20, 20), (2, 25, 25), (3, 25, 25)]
+    texts = sorted(r.text for r in fm_dedup.cut_repeats(df).collect())
+    assert texts == sorted(["", "", "", a, c, c + " tail", b + " " + b])
+    one, two = "abcdefghij" * 9 + "k" * 60, "".join(chr(33 + i % 90) for i in range(384))
+    got = {(r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(spark.createDataFrame(
+        [(None, one), (None, two), (5, one)], SCHEMA)).collect()}
+    assert (384, brute_bytes([(0, two)], 100)[0][1]) in got and (150, 150) in got
+
+
+def test_long_words_that_a_polynomial_confuses_are_told_apart(spark):
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    words = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join([thue, *words])), (2, " ".join([other, *words]))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.doc_id: r.n_removed for r in fm_dedup.remove_repeats(df).collect()} == {1: 0, 2: 0}
+    sets = spark.createDataFrame([(1, f"{thue} a b c"), (2, f"{other} a b c")], SCHEMA)
+    assert {r.doc_id: r.component_id for r in jaccard_join.link_components(sets).collect()} == {1: 1, 2: 2}
