@@ -29,7 +29,7 @@ from .storage import written
 from .words import LETTERS, Words
 
 MIN_DOCS, TOP, SCALE = 3, 200, 1_000_000_000
-SHARD_KEYS, HELD = 1 << 17, 1 << 22
+SHARD_KEYS, HELD = 1 << 14, 1 << 22
 BROADCAST_BYTES, BROADCAST_GROUPS = 64 << 20, 100_000
 SLICE = 8 << 20
 
