@@ -29,7 +29,7 @@ def _param(name: str, doc: str, convert) -> Param:
 
 def _constants(values: list[float]) -> Column:
     """An array of constants, sent to the JVM as one string."""
-    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+    return F.split(F.lit(",".join(repr(float(v)) for v in values or [0.0])), ",").cast("array<double>")
 
 
 def _weighted(values: list[float]):

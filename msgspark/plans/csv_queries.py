@@ -192,9 +192,18 @@ def ragged_rows(spark, sf):
     return r.select("row_id", F.col("line_no").cast("bigint").alias("line_no"), "text", F.col("problem").isNotNull().alias("too_short"))
 
 
-@query("ragged_lines")
+# fields of a line by the quote rule: closed quotes with what follows them, a quote left open, plain, empty
+FIELD = '"(?:[^"]|"")*"(?:[^",][^,]*)?,|"(?:[^"]|"")*$|[^",][^,]*,|,'
+UNQUOTED = """CASE WHEN NOT starts_with(x, '"') THEN x WHEN regexp_matches(x, '(?s)^"(?:[^"]|"")*"(?:[^"].*)?$')
+   THEN replace(regexp_extract(x, '(?s)^"((?:[^"]|"")*)"(?:[^"].*)?$', 1), '""', '"') || regexp_extract(x, '(?s)^"(?:[^"]|"")*"([^"].*)?$', 1)
+   ELSE replace(substr(x, 2), '""', '"') END"""
+
+
+@query("ragged_lines", f"""WITH l AS (SELECT doc_id AS row_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents),
+ f AS (SELECT row_id, line_no, list_transform(list_transform(regexp_extract_all(l || ',', '{FIELD}'), lambda m: m[:-2]), lambda x: {UNQUOTED}) AS fields FROM l),
+ s AS (SELECT row_id, line_no, list_transform(fields, lambda x: {o.strip('x')}) AS fields FROM f)
+SELECT row_id, line_no, nullif(fields[2], '') AS text, len(fields) < 2 AS too_short FROM s WHERE len(list_filter(fields, lambda x: length(x) > 0)) > 0""")
 def ragged_lines(spark, sf):
-    # all lines and all rows; the check SQL of ragged_rows leaves out quotes and blank texts
     lines = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "value"))
     return csv_files.ragged_fields(lines, text_pos=1).select(
         "row_id", F.col("line_no").cast("bigint").alias("line_no"), "text", F.col("problem").isNotNull().alias("too_short"))

@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import bayes, validate
+from ..functions.labels import parse_or_default
+from ..operators import balance as B, bayes, validate
 from ..sources import csv_files
 from . import oracle_text as o
 from .batch_scoring import score_files
 from .csv_queries import scratch
 from .registry import query, table
 from .text_queries import NB_SCORE, labelled
+from .vector_queries import rare
 
 BUCKETS = 4
 FILLER = "An opening line of this list that is clearly longer than fifty characters"
@@ -164,3 +166,36 @@ def score_files_jobs(spark, sf):
     _, jobs = score_files(spark, message_files(spark, sf), terms, priors, min_confidence=0.95)
     return _keyed(jobs.withColumnRenamed("job_id", "path")).select(
         "lang", "bucket", "status", "total_emails", "processed_emails", "error_count", "gated_emails", "failure")
+
+
+@query("load_v1v2", "SELECT label, count(*) AS n_rows, sum(length(text))::BIGINT AS n_chars FROM (SELECT regexp_replace(text, '[^\\x{00}-\\x{ff}]', '?', 'g') AS text, CASE WHEN doc_id % 3 = 0 THEN 'spam' ELSE 'ham' END AS label FROM documents) WHERE length(text) > 0 GROUP BY label")
+def load_v1v2(spark, sf):
+    # training files in ISO-8859-1 with upper-case labels and three unnamed columns; the first path that exists is taken
+    path = scratch(spark, "v1v2")
+    t = table(spark, sf, "documents").select(
+        F.upper(F.when(F.col("doc_id") % 3 == 0, "spam").otherwise("ham")).alias("v1"),
+        F.regexp_replace("text", r"[^\x00-\xff]", "?").alias("v2"), *[F.lit(None).cast("string").alias(f"_c{i}") for i in (2, 3, 4)])
+    t.write.option("header", True).option("encoding", "ISO-8859-1").option("escape", '"').csv(path)
+    found = csv_files.first_existing(spark, [f"{path}-missing", path])
+    return csv_files.read_v1v2(spark, found).groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query("parsed_settings", "SELECT event_id, coalesce(try_cast(v AS BIGINT), 48) AS hours, coalesce(try_cast(v AS DOUBLE), 0.5) AS ratio FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 3 = 1 THEN event_id::VARCHAR END AS v FROM events)")
+def parsed_settings(spark, sf):
+    v = F.when(F.col("event_id") % 3 == 0, F.col("event_type")).when(F.col("event_id") % 3 == 1, F.col("event_id").cast("string"))
+    return table(spark, sf, "events").withColumn("v", v).select(
+        "event_id", parse_or_default("v", "bigint", 48).alias("hours"), parse_or_default("v", "double", 0.5).alias("ratio"))
+
+
+@query("balance_methods", """SELECT m AS method, label, made AS is_synthetic, n FROM (
+  SELECT *, unnest(['class_weights', 'smote', 'both']) AS m FROM (SELECT count(*) FILTER (label <> 0) AS ma, count(*) FILTER (label = 0) AS mi FROM embeddings)) c,
+  LATERAL (SELECT greatest(0.48::DOUBLE, mi::DOUBLE / (ma + mi) + 0.02::DOUBLE) AS eff) e,
+  LATERAL (SELECT CAST(floor(greatest(floor(eff * ma / (1.0::DOUBLE - eff)), mi) * 1.1::DOUBLE) AS BIGINT) - mi AS extra) t,
+  LATERAL (SELECT * FROM (VALUES (0, false, ma), (1, false, mi), (1, true, extra)) v(label, made, n)) r
+WHERE NOT (made AND m = 'class_weights')""")
+def balance_methods(spark, sf):
+    # label 0 of the vectors is the rare class
+    data = rare(spark, sf)
+    parts = [B.balance(data, method=m).groupBy("label", "is_synthetic").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(m).alias("method"), "label", "is_synthetic", "n") for m in ("class_weights", "smote", "both")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
