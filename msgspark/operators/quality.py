@@ -165,17 +165,65 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
     return nodes
 
 
+P1, P2, P3, P4, P5 = (np.uint64(p) for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579,
+                                             2870177450012600261))  # fixed values of the 64-bit xxHash
+
+
+def _rotated(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def _finished(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * P2
+    h = (h ^ (h >> np.uint64(29))) * P3
+    return h ^ (h >> np.uint64(32))
+
+
+def hash_long(value: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """xxHash of 64-bit numbers; chained over columns it is Spark's ``xxhash64``, which starts from 42."""
+    return _finished(_rotated((seed + P5 + np.uint64(8)) ^ (_rotated(value * P2, 31) * P1), 27) * P1 + P4)
+
+
+def hash_int(value: int, seed: np.ndarray) -> np.ndarray:
+    return _finished(_rotated((seed + P5 + np.uint64(4)) ^ (np.uint64(value & 0xFFFFFFFF) * P1), 23) * P2 + P3)
+
+
+def lowest_hashes(points: DataFrame, *, n_trees: int, tree_rows: int, seed: int) -> DataFrame:
+    """(tree, _h, id): for each tree the rows of the lowest hashes, as a sketch of ``tree_rows`` places that each task
+    fills for all trees in one pass over the ids; the sketches are merged by a rank limit."""
+    def sketch(batches):
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(n_trees)]
+        edge = np.full(n_trees, np.iinfo(np.int64).max)
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                ids = batch.column("id").to_numpy()
+                own = hash_long(ids.view(np.uint64), np.full(len(ids), 42, np.uint64))
+                for t in range(n_trees):
+                    h = hash_int(seed, hash_int(t, own)).view(np.int64)
+                    low = np.flatnonzero(h <= edge[t])
+                    if not len(low):
+                        continue
+                    h, i = np.r_[held[t][0], h[low]], np.r_[held[t][1], ids[low]]
+                    if len(h) > 2 * tree_rows:
+                        best = np.lexsort((i, h))[:tree_rows]
+                        h, i = h[best], i[best]
+                        edge[t] = h[-1]
+                    held[t] = (h, i)
+        for t, (h, i) in enumerate(held):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), t, np.int32)), pa.array(h), pa.array(i)], ["tree", "_h", "id"])
+
+    w = Window.partitionBy("tree").orderBy("_h", "id")
+    found = points.select(F.col("id").cast("bigint").alias("id")).mapInArrow(sketch, "tree int, _h long, id long")
+    return found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= tree_rows).drop("_r")
+
+
 def isolation_forest(points: DataFrame, *, dim: int, n_trees: int = N_TREES, tree_rows: int = TREE_ROWS,
                      seed: int = 42) -> list[list[tuple]]:
     """Trees grown on ``tree_rows`` hash-chosen rows each; at most n_trees * 2 * tree_rows nodes.
 
-    A row enters a tree when its hash is among the lowest of that tree. The rank limit applies in each task before
-    the exchange, so at most n_trees * tree_rows rows a task are sent.
+    A row enters a tree when its hash is among the lowest of that tree. A task sends at most about twice n_trees * tree_rows ids.
     """
-    drawn = points.select("id", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-    drawn = drawn.withColumn("_h", F.xxhash64("id", "tree", F.lit(seed)))
-    w = Window.partitionBy("tree").orderBy("_h", "id")
-    sample = drawn.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= tree_rows)
+    sample = lowest_hashes(points, n_trees=n_trees, tree_rows=tree_rows, seed=seed)
     rows = sample.select("id", "tree").join(points, "id")  # at most n_trees * tree_rows rows
 
     def grow(key, table):

@@ -242,3 +242,17 @@ def test_training_flow(spark, tmp_path):
     assert np.allclose(back["naive_bayes"].theta.toArray(), res.models["naive_bayes"].theta.toArray())
     with pytest.raises(ValueError):
         train(corpus(spark).limit(20))
+
+
+def test_tree_samples_are_the_lowest_hashes(spark):
+    from pyspark.sql import Window
+
+    from msgspark.operators import quality
+
+    points = spark.range(-2000, 9000).repartition(5)
+    got = quality.lowest_hashes(points, n_trees=7, tree_rows=40, seed=42)
+    drawn = points.select("id", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("tree")).withColumn("_h", F.xxhash64("id", "tree", F.lit(42)))
+    want = drawn.withColumn("r", F.row_number().over(Window.partitionBy("tree").orderBy("_h", "id"))).filter("r <= 40")
+    key = lambda df: sorted((r.tree, r["_h"], r.id) for r in df.collect())
+    assert key(got) == key(want) and got.count() == 280
+    assert quality.lowest_hashes(points.limit(3), n_trees=2, tree_rows=40, seed=1).count() == 6
