@@ -51,12 +51,12 @@ class Network:
         self.bias = np.zeros(1, np.float32)
 
     def laid_out(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Texts padded to whole half chunks, and the half chunks of each. The padding is at least as long as a window reaches
-        into the next half chunk, so no window of a text sees bytes of the next one."""
+        """Texts padded to whole half chunks, and the half chunks of each. Each begins with as much padding as the last window
+        before it reaches over, so no window of a text sees bytes of the next one."""
         n = np.diff(offsets)
         halves = -(-(n + WIDTH - STRIDE) // HALF)
         out = np.full(int(halves.sum()) * HALF + WIDTH, PAD, np.int16)
-        out[spans((np.cumsum(halves) - halves) * HALF, n)] = data[offsets[0]: offsets[-1]]
+        out[spans((np.cumsum(halves) - halves) * HALF + WIDTH - STRIDE, n)] = data[offsets[0]: offsets[-1]]
         return out, halves
 
     def inputs(self, symbols: np.ndarray) -> np.ndarray:

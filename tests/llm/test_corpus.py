@@ -204,8 +204,10 @@ def test_intermediate_tables_can_be_deleted(spark):
 
 def direct_score(net, data):
     """The network's score of one text, window by window."""
-    n_halves = -(-(len(data) + byte_cnn.WIDTH - byte_cnn.STRIDE) // byte_cnn.HALF)
-    padded = np.r_[np.frombuffer(data, np.uint8).astype(int), np.full(n_halves * byte_cnn.HALF + byte_cnn.WIDTH - len(data), byte_cnn.PAD)]
+    lead = byte_cnn.WIDTH - byte_cnn.STRIDE
+    n_halves = -(-(len(data) + lead) // byte_cnn.HALF)
+    padded = np.full(n_halves * byte_cnn.HALF + byte_cnn.WIDTH, byte_cnn.PAD)
+    padded[lead: lead + len(data)] = np.frombuffer(data, np.uint8)
     filters, offset, unit = (x.astype(np.float64) for x in (net.filters, net.offset, net.unit))
     out = np.array([net.features[padded[i: i + byte_cnn.WIDTH]].astype(np.float64).ravel() @ filters + offset
                     for i in range(0, n_halves * byte_cnn.HALF, byte_cnn.STRIDE)]).reshape(n_halves, -1, byte_cnn.FILTERS)
