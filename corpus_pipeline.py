@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. The first four return the
 columns of documents; the last returns one row for each document of the mixture with its pieces.
+
+Defined results: a null or empty text has no words, so the first stage rejects it; null ids, languages and sources stay as they
+are. Equal rows are copies: of a group the rows of its smallest doc_id stay, all of them if the id repeats. Different texts
+under one id keep their own words. A source that is null is a source. Other columns go on up to the mixture. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
