@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import text as T
 from ..session import cut_lineage
 from . import features as feat
 
@@ -46,16 +47,19 @@ def score(docs: DataFrame, terms: DataFrame, priors: DataFrame, *, text: str = "
           keep: tuple[str, ...] = (), max_features: int | None = feat.MAX_FEATURES) -> DataFrame:
     """(row_id, keep..., l0, l1, prediction, confidence); term-less rows get the prior.
 
-    The norm of a row divides the whole sum, so weighting, normalising and scoring are one
-    aggregation on the partitioning the term counts already have.
+    The norm of a row divides the whole sum, so weighting, normalising and scoring stay within
+    the row that counting leaves.
     """
-    known = feat.known_counts(docs, terms, values=("idf", "theta0", "theta1"), text=text, row_id=row_id, keep=keep,
-                              max_features=max_features, keep_empty=True)
-    raw = feat.raw_weight(F.col("tf"), F.col("idf"))
-    sums = known.groupBy(row_id, *keep).agg(
-        F.sum(raw * F.col("theta0")).alias("d0"), F.sum(raw * F.col("theta1")).alias("d1"),
-        F.sqrt(F.sum(raw * raw)).alias("norm"),
-    )
+    rows = feat.known_rows(docs, terms, values=("idf", "theta0", "theta1"), text=text, row_id=row_id, keep=keep,
+                           max_features=max_features)
+
+    def dot(raw, theta: str):
+        shares = F.zip_with(raw, "known", lambda w, x: w * x[theta])
+        return F.when(F.size("known") > 0, F.aggregate(shares, F.lit(0.0), lambda total, x: total + x))
+
+    sums = rows.select(row_id, *keep, T.let(feat.raw_weights("known"), lambda raw: F.struct(
+        dot(raw, "theta0").alias("d0"), dot(raw, "theta1").alias("d1"), F.sqrt(feat.squares(raw)).alias("norm"))).alias("_s"))
+    sums = sums.select(row_id, *keep, "_s.d0", "_s.d1", "_s.norm")
     p0, p1 = priors.select("prior0").scalar(), priors.select("prior1").scalar()
     scored = sums.select(
         row_id, *keep,
