@@ -11,7 +11,7 @@ unknown word a group add up to one after every history.
 
 Training: ROUNDS rounds; in each, documents chosen by hash are dealt into lanes of about LANE tokens, a lane's task trains
 a copy of the model on them by truncated backpropagation, and the copies' parameters are averaged by tokens. All rounds
-together visit a share of TRAIN_SHARE of all training tokens, and MIN_VISITS at least (documents come again in a small corpus,
+together visit every training document, and MIN_VISITS tokens at least (documents come again in a small corpus,
 at most once a round). Lanes go by a hash of the content, so neither partitioning nor retries change the model beyond rounding.
 
 Scoring: whole documents in streams, the state carried from window to window. Scores are rounded to DIGITS digits.
@@ -39,7 +39,7 @@ from .words import NOT_SPACE, Words
 
 SMOOTH, DIGITS = 0.1, 3
 LOOKUP_WORDS, MODEL_WORDS, GROUPS = 1 << 18, 4096, 64
-ROUNDS, LANE, TRAIN_SHARE, MIN_VISITS, RATE = 6, 1 << 18, 1 / 16, 3_000_000, 6e-3
+ROUNDS, LANE, MIN_VISITS, RATE = 6, 1 << 18, 3_000_000, 6e-3
 SLICE, PARTS, STEPS_AN_OCTAVE, FRACTION = 8 << 20, 8, 16, 1 << 20
 
 
@@ -71,6 +71,7 @@ class Model:
     group_types: np.ndarray
     net: Gru
     losses: list = field(default_factory=list)
+    visits: int = 0  # tokens that training went over
 
     def sent(self) -> "Model":
         return Model(None, *[getattr(self, c) for c in ("tokens", "types", "words", "word_counts", "items", "ends", "group_tokens",
@@ -187,13 +188,13 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 total[part] = [weight, values]
     for part, (weight, values) in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([(values / weight).astype(np.float32).tobytes()], pa.binary())],
-                                         ["part", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([weight]), pa.array(
+            [(values / weight).astype(np.float32).tobytes()], pa.binary())], ["part", "weight", "data"])
 
 
-def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", train_share: float = TRAIN_SHARE,
-        min_visits: int = MIN_VISITS, lookup_words: int = LOOKUP_WORDS, model_words: int = MODEL_WORDS, lane: int = LANE) -> Model:
-    """Counts of all training tokens and the trained network."""
+def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_visits: int = MIN_VISITS, lookup_words: int = LOOKUP_WORDS,
+        model_words: int = MODEL_WORDS, lane: int = LANE) -> Model:
+    """Counts of all training tokens and the network trained on all training documents."""
     texts = _texts(docs, text_col, id_col)
     spark, counts = docs.sparkSession, count_tokens(texts)
     by_group = {r.grp: (r.n, r.v) for r in counts.groupBy("grp").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
@@ -214,18 +215,20 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", train_s
     model = Model(counts, tokens, types, words, n, items, ends, group_tokens, group_types, net)
     if not tokens:
         return model
-    visits = max(min_visits, train_share * tokens)
-    width = int(min(FRACTION, max(1, round(FRACTION * visits / ROUNDS / tokens))))  # of a round, in parts of all documents
+    # of a round, in parts of all documents: the rounds together take every document
+    width = min(FRACTION, -(-FRACTION * max(min_visits, tokens) // (ROUNDS * tokens)))
     at = F.pmod(F.xxhash64("doc_id", "text"), F.lit(FRACTION))
-    chosen = texts.filter("not held_out").select(at.alias("at"), "text").filter(F.col("at") < min(FRACTION, width * ROUNDS))
-    sample = written(chosen.mapInArrow(_encode(spark.sparkContext.broadcast(model.sent())), "at long, ids binary"), "sample")
+    training = texts.filter("not held_out").select(at.alias("at"), "text")
+    coded = written(training.mapInArrow(_encode(spark.sparkContext.broadcast(model.sent())), "at long, ids binary"), "training")
     lanes = max(1, round(tokens * width / FRACTION / lane))
     for r in range(ROUNDS):
-        own = sample.filter(F.pmod(F.col("at") - r * width, F.lit(FRACTION)) < width).withColumn("hash", F.xxhash64("ids"))
+        own = coded.filter(F.pmod(F.col("at") - r * width, F.lit(FRACTION)) < width).withColumn("hash", F.xxhash64("ids"))
         own = own.withColumn("lane", F.pmod("hash", F.lit(lanes))).repartition(lanes, "lane").sortWithinPartitions("lane", "hash")
         copies = own.select("lane", "ids").mapInArrow(
             _train(spark.sparkContext.broadcast(model.sent()), RATE * 0.75 ** r), "part int, weight double, data binary")
-        parts = copies.repartition("part").sortWithinPartitions("part", F.xxhash64("data")).mapInArrow(_average, "part int, data binary").collect()
+        parts = copies.repartition("part").sortWithinPartitions("part", F.xxhash64("data")).mapInArrow(
+            _average, "part int, weight double, data binary").collect()
+        model.visits += int(parts[0].weight) if parts else 0
         if parts:  # a round may find no document in a tiny corpus
             net.unpack(np.concatenate([np.frombuffer(p.data, np.float32) for p in sorted(parts, key=lambda p: p.part)]))
     return model

@@ -150,6 +150,13 @@ def test_model_does_not_depend_on_partitions_and_beats_the_base(spark):
     assert unseen and sum(a[0] for a in unseen) > 0.95 * sum(a[1] for a in unseen)
 
 
+def test_training_goes_over_every_training_document(spark):
+    df = spark.createDataFrame(table(), SCHEMA)
+    model = lm_score.fit(df, min_visits=0, lane=4_000, model_words=60)
+    assert model.tokens <= model.visits < 1.2 * model.tokens  # once; a round's edge is rounded up
+    assert lm_score.fit(df, min_visits=10 ** 9, lane=40_000, model_words=60).visits == lm_score.ROUNDS * model.tokens
+
+
 def test_probabilities_of_rare_words_add_up(spark):
     df = spark.createDataFrame(table(), SCHEMA)
     model = lm_score.fit(df, **SMALL)
