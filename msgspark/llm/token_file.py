@@ -28,7 +28,7 @@ from .huffman import Decoder, canonical_codes, code_lengths, encode_block
 from .storage import shared_folder, written
 
 IDS_PER_BLOCK = 1 << 16
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 CACHED_UNITS = 500_000
 WORD_AND_TAIL = "^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[.,;:!?#$%&*]*)$"
 PLAIN = re.compile("[a-zà-öø-ÿ]+|[.,;:!?#$%&*]+")
@@ -144,6 +144,7 @@ def encode(docs: DataFrame, tokenizer_file: str, end_id: int, n_ids: int, text_c
                 data = ids.astype(width(n_ids))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(
                     [data[b - n: b].tobytes() for b, n in zip(ends, counts, strict=True)], pa.binary())], ["doc_id", "ids"])
+            pa.default_memory_pool().release_unused()  # else a worker keeps the most that any batch took
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         run, "doc_id long, ids binary")

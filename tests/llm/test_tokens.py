@@ -37,6 +37,21 @@ def test_frozen_cache_encodes_alike(monkeypatch):
     assert (want[0] == got[0]).all() and (want[1] == got[1]).all()
 
 
+def test_a_slice_takes_little_memory():
+    import pyarrow as pa
+
+    with open(BPE, encoding="utf-8") as f:
+        encoder = token_file.WordEncoder(f.read())
+    rng = random.Random(2)
+    text = " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(token_file.SLICE_BYTES // 7))
+    encoder.texts(pa.array([text]), 2)
+    before = pa.total_allocated_bytes()
+    peak = pa.default_memory_pool().max_memory()
+    encoder.texts(pa.array([text]), 2)
+    assert token_file.SLICE_BYTES <= 1 << 20  # two workers share an executor with its JVM
+    assert pa.total_allocated_bytes() <= before + (1 << 20) and peak < 128 << 20
+
+
 def test_files_round_trip(spark, monkeypatch):
     monkeypatch.setattr(token_file, "IDS_PER_BLOCK", 200)
     rows = [(i * 7 % 41, ODD[i % len(ODD)]) for i in range(41)] + [(None, "null id"), (3, "again"), (3, "again")]
