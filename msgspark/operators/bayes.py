@@ -38,8 +38,9 @@ def fit_terms(weights: DataFrame, vocab: DataFrame, *, label: str = "label", alp
 def fit(docs: DataFrame, *, text: str = "text", label: str = "label", row_id: str = "row_id",
         max_features: int = feat.MAX_FEATURES, **vocab_args) -> tuple[DataFrame, DataFrame]:
     """(term table, prior row) learned from labelled messages."""
-    vocab = feat.fit_vocabulary(docs, text=text, row_id=row_id, max_features=max_features, **vocab_args)
-    weights = feat.tfidf(docs, vocab, text=text, row_id=row_id, keep=(label,), max_features=max_features)
+    words = feat.prepared(docs, text=text, row_id=row_id, keep=(label,))
+    vocab = feat.fit_vocabulary(words, row_id=row_id, max_features=max_features, **vocab_args)
+    weights = feat.tfidf(words, vocab, row_id=row_id, keep=(label,), max_features=max_features)
     return fit_terms(weights, vocab, label=label), class_priors(docs, label=label)
 
 

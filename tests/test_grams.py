@@ -79,3 +79,56 @@ def test_no_row_per_word_is_made_or_hashed(spark):
     weights = feat.tfidf(docs, feat.fit_vocabulary(docs), keep=("label",))
     norms = weights.groupBy("row_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).collect()
     assert norms and all(r.s == pytest.approx(1) for r in norms)  # rows of one id are one document, whatever their label
+
+
+@pytest.mark.parametrize("high", [1, 2, 3])
+def test_buckets_bound_the_occurrences_of_their_terms(spark, high):
+    rows = rows_of()
+    docs = feat.arranged(spark.createDataFrame(rows, SCHEMA).repartition(5))
+    seen, n = grams.occurrences(docs, 1, high)
+    cf = sum((Counter(of_text(t, high)) for _, t, _ in rows), Counter())
+    assert n == len(rows) and seen.sum() == sum(cf.values())
+    own = {t: grams.buckets_of(pa.array([t])) for t in cf}
+    assert all(own[t].sum() == 1 and seen[own[t]][0] >= c for t, c in cf.items())
+    kept = grams.buckets_of(pa.array(sorted(cf)[::3]))
+    got = {r.term: r.cf for r in grams.term_totals(docs, 1, high, kept).collect()}
+    assert got == {t: c for t, c in cf.items() if kept[own[t]].all()}
+    none = feat.arranged(spark.createDataFrame([], SCHEMA))
+    assert grams.occurrences(none, 1, high)[1] == 0
+
+
+@pytest.mark.parametrize("fullest", [1, 8])
+def test_bounded_vocabulary_is_exact_and_exchanges_few_terms(spark, monkeypatch, fullest):
+    """Terms of every document are most frequent, but left out by max_df: the first buckets do not hold enough terms."""
+    letters = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(60)]
+    rows = [(i, " ".join([*[f"qall{a}"] * 9, f"qpair{letters[i % 20]}{a}", f"qone{letters[i]}{a}"]), 0) for i in range(60) for a in letters[:20]]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    documents = by_key(rows, lambda r: r[0]).values()
+    cf, df = sum(documents, Counter()), Counter(t for c in documents for t in c)
+    asked = []
+    counted = grams.term_totals
+    monkeypatch.setattr(grams, "term_totals", lambda words, low, high, kept=None: asked.append(kept) or counted(words, low, high, kept))
+    for most in (0, 3, 30, 100_000):
+        asked.clear()
+        got = [(r.term, r.df, r.cf) for r in feat.fit_vocabulary(docs, max_df=0.04, max_features=most, fullest=fullest).orderBy("term_idx").collect()]
+        fit = sorted((t for t in cf if 2 <= df[t] <= 0.04 * len(rows)), key=lambda t: (-cf[t], t))[:most]
+        assert got == [(t, df[t], cf[t]) for t in sorted(fit)]
+        assert asked and all(k is not None and k.sum() < len(cf) for k in asked)
+    words = feat.prepared(docs)
+    assert feat.fit_vocabulary(words, max_features=40).collect() == feat.fit_vocabulary(docs, max_features=40).collect()
+
+
+def test_no_known_terms_are_exchanged_to_normalise_documents(spark):
+    docs = spark.createDataFrame(rows_of(), SCHEMA)
+    words = feat.prepared(docs, keep=("label",))
+    vocab = feat.fit_vocabulary(words)
+    weights = feat.tfidf(words, vocab, keep=("label",))
+    assert "Window" not in weights._jdf.queryExecution().executedPlan().toString()
+    plain = feat.tfidf(docs, vocab.limit(5000), keep=("label",), max_features=None)
+    key = lambda df: sorted((r.row_id is not None, r.row_id or 0, r.label, r.term, r.tf, round(r.weight, 9)) for r in df.collect())
+    assert key(weights) == key(plain)
+
+
+def test_documents_of_one_id_are_held_together_across_slices(spark, monkeypatch):
+    monkeypatch.setattr(grams.counted, "__defaults__", (40, None))
+    test_no_known_terms_are_exchanged_to_normalise_documents(spark)
