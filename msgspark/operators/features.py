@@ -12,6 +12,8 @@ pass counts all buckets that could hold one, so the result is always exact. The
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
@@ -209,12 +211,26 @@ def tfidf_vectors(docs: DataFrame, vocab: DataFrame, *, size: int, **kw) -> Data
 
 
 def to_vectors(arrays: DataFrame, *, size: int) -> DataFrame:
-    """(indices, values) arrays to a sparse ML vector in column ``features`` (Arrow batches)."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+    """(indices, values) arrays to a sparse ML vector in column ``features``: whole Arrow batches, no Python object a row."""
+    from pyspark.ml.linalg import VectorUDT
 
-    @F.udf(returnType=VectorUDT(), useArrow=True)
+    @F.arrow_udf(returnType=VectorUDT())
     def sparse(indices, values):
-        return SparseVector(size, indices, values)
+        n = len(indices)
+        if indices.null_count or values.null_count or not pc.list_value_length(indices).equals(pc.list_value_length(values)):
+            raise ValueError("index and value arrays not same length")
+        ends = np.r_[0, np.cumsum(pc.list_value_length(indices).to_numpy())]
+        at = indices.flatten().cast(pa.int32())
+        place, first = at.to_numpy(), np.zeros(len(at) + 1, bool)
+        first[ends] = True  # where a row begins
+        if (~first[1:-1] & (place[1:] <= place[:-1])).any():
+            raise TypeError("indices are not strictly increasing")
+        if len(place) and not 0 <= place.min() <= place.max() < size:
+            raise ValueError(f"index out of the size of vector with size={size}")
+        found = values.flatten().cast(pa.float64()).fill_null(np.nan)
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (at, found)]
+        return pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), *lists],
+                                          names=["type", "size", "indices", "values"])
 
     rest = [c for c in arrays.columns if c not in ("indices", "values")]
     return arrays.select(*rest, sparse("indices", "values").alias("features"))

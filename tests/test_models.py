@@ -256,3 +256,21 @@ def test_tree_samples_are_the_lowest_hashes(spark):
     key = lambda df: sorted((r.tree, r["_h"], r.id) for r in df.collect())
     assert key(got) == key(want) and got.count() == 280
     assert quality.lowest_hashes(points.limit(3), n_trees=2, tree_rows=40, seed=1).count() == 6
+
+
+def test_vectors_are_made_from_whole_batches(spark):
+    rows = [(1, [0, 2], [0.25, 0.5]), (2, [], []), (3, [4], [1.0]), (4, [1, 3, 4], [None, 0.0, 2.0])]
+    made = lambda rows, size=5: feat.to_vectors(spark.createDataFrame(
+        rows, "row_id bigint, indices array<bigint>, values array<double>").coalesce(1), size=size)
+    vectors = made(rows)
+    # 101 is a user function that is called for each row
+    assert "sparse(" in (plan := vectors._jdf.queryExecution().executedPlan().toString()) and ", 101" not in plan
+    got = {r.row_id: r.features for r in vectors.collect()}
+    assert all(v.size == 5 for v in got.values())
+    for i, at, values in rows:
+        assert got[i].indices.tolist() == at
+        assert np.array_equal(got[i].values, np.array(values, float), equal_nan=True)
+    for bad in ([1, 1], [2, 1], [0, 5], [-1, 0], [0], None, [None, 1]):
+        with pytest.raises(Exception):
+            made([(0, bad, [1.0, 1.0])]).collect()
+    assert made([]).collect() == []
