@@ -20,6 +20,7 @@ from .text_queries import NB_SCORE, labelled
 from .vector_queries import rare
 
 BUCKETS = 4
+FILE_TASKS = 256  # many more than files, so that one task seldom sorts the rows of two
 FILLER = "An opening line of this list that is clearly longer than fifty characters"
 HEADERS = {"en": "id,message, ,is_spam", "fr": "text,text,label", "": "label,text"}
 
@@ -47,7 +48,7 @@ def message_files(spark, sf) -> str:
         first = F.when(F.col("k") == k, F.lit(header)).otherwise(first)
     tops = t.select("file_lang", "bucket", "k").distinct().select("file_lang", "bucket", F.lit(-1).cast("long").alias("i"), first.alias("value"))
     keys = ["file_lang", "bucket"]
-    rows.unionByName(tops).repartition(*keys).sortWithinPartitions(*keys, "i").drop("i").write.partitionBy(*keys).text(path)
+    rows.unionByName(tops).repartition(FILE_TASKS, *keys).sortWithinPartitions(*keys, "i").drop("i").write.partitionBy(*keys).text(path)
     return path
 
 

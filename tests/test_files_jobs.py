@@ -158,3 +158,20 @@ def test_ragged_lines_returns_quoted_and_blank_rows(spark, tmp_path):
             if any(x.strip() for x in f):
                 want.append((d, i, (f[1].strip() or None) if len(f) > 1 else None, len(f) < 2))
     assert sorted(tuple(r) for r in ragged_lines(spark, str(tmp_path)).collect()) == want
+
+
+def test_each_message_file_is_sorted_in_a_task_of_its_own(spark, tmp_path):
+    from pathlib import Path
+
+    from msgspark.plans import file_queries
+
+    rows = [(i, f'a "quoted" text {i}', lang, "web", 9) for i, lang in enumerate(["en", "de", "fr", "es"] * 12)]
+    rows = [(i // 4 + 12 * (i % 4), *r) for i, (_, *r) in enumerate(rows)]  # every language in every bucket
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    path = file_queries.message_files(spark, str(tmp_path))
+    files = [f for f in Path(path.removeprefix("file:")).rglob("part-*")]
+    assert len(files) == len({f.parent for f in files}) == 16, files
+    assert len({f.name.split("-")[1] for f in files}) == 16  # numbers of the tasks that wrote them
+    for f in files:
+        ids = [int(line.split(" text ")[1].split('"')[0]) for line in f.read_text().splitlines() if " text " in line]
+        assert ids == sorted(ids) and len(ids) in (2, 3)  # a Spanish row too short has no text
