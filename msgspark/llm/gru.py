@@ -15,6 +15,7 @@ import numpy as np
 
 WIDTH, EMBED, CLASSES = 24, 20, 64
 STREAMS, WINDOW = 96, 24
+BLOCK, TARGET_ROWS = 1 << 15, 768
 SCORE_STREAMS, SCORE_ROWS = 256, 8192
 NAMES = ("embed", "inward", "inner", "offset", "inner_offset", "to_class", "class_offset", "to_item", "item_offset")
 
@@ -32,11 +33,17 @@ def classes_of(counts: np.ndarray, n_classes: int = CLASSES) -> tuple[np.ndarray
     return by_count, np.r_[np.flatnonzero(np.r_[True, own[1:] != own[:-1]]), len(counts)], of_item
 
 
-def _logistic(v: np.ndarray) -> None:
-    """1 / (1 + exp(v)), in place."""
-    np.exp(v, out=v)
-    v += np.float32(1)
-    np.reciprocal(v, out=v)
+class Room:
+    """Arrays by name that are used again: a window's arrays are as large as the next one's."""
+
+    def __init__(self):
+        self.kept: dict[str, np.ndarray] = {}
+
+    def array(self, name: str, shape: tuple[int, ...], kind: np.dtype) -> np.ndarray:
+        size = int(np.prod(shape))
+        if name not in self.kept or len(self.kept[name]) < size or self.kept[name].dtype != kind:
+            self.kept[name] = np.empty(size, kind)
+        return self.kept[name][:size].reshape(shape)
 
 
 class Gru:
@@ -62,192 +69,224 @@ class Gru:
     def packed(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in NAMES])
 
-    def unpack(self, values: np.ndarray) -> None:
-        at = 0
-        for k in NAMES:
-            size = self.p[k].size
-            self.p[k] = values[at: at + size].reshape(self.p[k].shape).astype(np.float32)
-            at += size
+    def views(self, values: np.ndarray) -> dict[str, np.ndarray]:
+        """The parameters' shapes, by name, on parts of one array."""
+        cut = np.cumsum([self.p[k].size for k in NAMES])[:-1]
+        return {k: part.reshape(self.p[k].shape) for k, part in zip(NAMES, np.split(values, cut), strict=True)}
+
+    def unpack(self, values: np.ndarray, copy: bool = True) -> None:
+        self.p = {k: v.astype(np.float32, copy=copy) for k, v in self.views(values).items()}
+
+    def targets(self, h: np.ndarray, y: np.ndarray, back: np.ndarray | None, room: Room):
+        """Natural log probability of items ``y``, in ascending order, in states ``h``; with ``back``, also gradients of their
+        sum with weights ``-back``, and the states'. The last column of ``h`` is 1, so that offsets are the last row of a
+        layer's matrix. The largest logit of a row is taken off first only where an overflow is not ruled out."""
+        first, kind, c = self.first, h.dtype, self.class_of[y]
+        to_class = np.concatenate([self.p["to_class"], self.p["class_offset"][None]])
+        back_to, d_class = np.ascontiguousarray(to_class[:-1].T), np.zeros_like(to_class)
+        out, ones = np.empty(len(y)), np.ones(to_class.shape[1], kind)
+        dh = None if back is None else np.empty((len(y), WIDTH), kind)
+        for i in range(0, len(y), TARGET_ROWS):
+            own = slice(i, i + TARGET_ROWS)
+            states, at = h[own], c[own]
+            rows = np.arange(len(at))
+            e = np.matmul(states, to_class, out=room.array("class", (len(at), len(ones)), kind))
+            if not -60 < e.min() <= e.max() < 60:
+                e -= e.max(1, keepdims=True)
+            chosen = e[rows, at]
+            np.exp(e, out=e)
+            total = e @ ones
+            out[own] = chosen - np.log(total)
+            if back is not None:  # softmax less the target, times the row's total: the division is left to the rows of the states
+                e[rows, at] -= total
+                share = (back[own] / total)[:, None]
+                d_class += (states * share).T @ e
+                np.matmul(e, back_to, out=dh[own])
+                dh[own] *= share
+
+        # logits of all classes end to end in one array
+        to_item = room.array("to_item", (len(self.class_of), WIDTH + 1), kind)
+        to_item[:, :-1], to_item[:, -1] = self.p["to_item"], self.p["item_offset"]
+        size = np.diff(first)
+        ends = np.searchsorted(c, np.arange(len(first))).tolist()
+        at = np.cumsum(size[c]) - size[c]
+        e = room.array("item", (int(at[-1] + size[c[-1]]) if len(y) else 0,), kind)
+        blocks, begin = [], 0
+        for a, b, i, j in zip(first[:-1].tolist(), first[1:].tolist(), ends[:-1], ends[1:], strict=True):
+            if i < j:
+                end = begin + (j - i) * (b - a)
+                block, begin = e[begin:end].reshape(j - i, b - a), end
+                np.matmul(h[i:j], to_item[a:b].T, out=block)
+                blocks.append((block, a, b, i, j))
+        if len(y) and not -60 < e.min() <= e.max() < 60:
+            for block, *_ in blocks:
+                block -= block.max(1, keepdims=True)
+        place = at + y - first[c]
+        chosen = e[place]
+        np.exp(e, out=e)
+        total = np.add.reduceat(e, at) if len(y) else np.ones(0, kind)
+        out += chosen - np.log(total)
+        if back is None:
+            return out
+        e[place] -= total
+        share = (back / total)[:, None]
+        states, d_item, inner = h * share, room.array("d_item", to_item.shape, kind), np.empty_like(dh)
+        d_item[:] = 0
+        for block, a, b, i, j in blocks:
+            np.matmul(block, to_item[a:b, :-1], out=inner[i:j])
+            np.matmul(block.T, states[i:j], out=d_item[a:b])
+        inner *= share
+        dh += inner
+        return out, {"to_class": d_class[:-1], "class_offset": d_class[-1], "to_item": d_item[:, :-1], "item_offset": d_item[:, -1]}, dh
 
-    def step(self, x: np.ndarray, h: np.ndarray):
-        """One step from state ``h`` under the inputs' share ``x``; what going back needs comes along."""
-        g = h @ self.p["inner"]
-        gates = np.tanh(0.5 * (x[:, : 2 * WIDTH] + g[:, : 2 * WIDTH])) * np.float32(0.5) + np.float32(0.5)
-        r, z = gates[:, :WIDTH], gates[:, WIDTH:]
-        inner = g[:, 2 * WIDTH:] + self.p["inner_offset"]
-        new = np.tanh(x[:, 2 * WIDTH:] + r * inner)
-        return new + z * (h - new), r, z, inner, new
+    def states(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, room: Room):
+        """The states after items ``x`` from ``h``, and what going back needs: inputs, states before, gates with the new value, the
+        states' share and where they were kept. Arrays are (time, value, stream)."""
+        # 1 / (1 + exp(v)) with the sign in the weights; the last row of inputs and states is 1, for the offsets
+        (steps, streams), w, p = x.shape, WIDTH, self.p
+        kind = p["inner"].dtype
+        one, sign = kind.type(1), np.where(np.arange(3 * w) < 2 * w, -1, 1).astype(kind)
+        inward = np.ascontiguousarray((np.concatenate([p["inward"], p["offset"][None]]) * sign).T)
+        inner = np.ascontiguousarray((np.concatenate([p["inner"], np.r_[np.zeros(2 * w, kind), p["inner_offset"]][None]]) * sign).T)
+        inputs, before = (room.array(name, (steps, n + 1, streams), kind) for name, n in (("inputs", EMBED), ("before", w)))
+        inputs[:, :EMBED] = p["embed"][x].transpose(0, 2, 1)
+        inputs[:, EMBED] = before[:, w] = 1
+        gates = np.matmul(inward, inputs, out=room.array("gates", (steps, 3 * w, streams), kind))
+        g, states = room.array("g", gates.shape, kind), room.array("states", (steps, w, streams), kind)
+        keep, part = (~fresh).astype(kind), np.empty((w, streams), kind)
+        with np.errstate(over="ignore"):  # 1 / (1 + inf) is the limit
+            for was, u, rz, n, k, after in zip(before, g, gates[:, : 2 * w], gates[:, 2 * w:], keep, states, strict=True):
+                last = was[:w]
+                np.multiply(h, k, out=last)
+                np.matmul(inner, was, out=u)
+                np.add(rz, u[: 2 * w], out=rz)
+                np.exp(rz, out=rz)
+                np.add(rz, one, out=rz)
+                np.reciprocal(rz, out=rz)
+                np.multiply(rz[:w], u[2 * w:], out=part)
+                np.add(n, part, out=n)
+                np.tanh(n, out=n)
+                np.subtract(last, n, out=part)
+                np.multiply(part, rz[w:], out=part)
+                h = np.add(part, n, out=after)
+        return states, inputs, before, gates, g, keep
 
-    def targets(self, h: np.ndarray, y: np.ndarray, back: np.ndarray | None = None):
-        """Natural log probability of items ``y`` in states ``h``; with ``back``, the weights of the rows, gradients too."""
-        rows, c = np.arange(len(y)), self.class_of[y]
-        logits = h @ self.p["to_class"] + self.p["class_offset"]
-        logits -= logits.max(1, keepdims=True)
-        out = logits[rows, c].astype(np.float64)
-        e = np.exp(logits, out=logits)
-        total = e.sum(1)
-        out -= np.log(total)
-        grads, dh = {}, None
-        if back is not None:
-            e *= (back / total)[:, None]
-            e[rows, c] -= back
-            dh = e @ self.p["to_class"].T
-            grads = {"to_class": h.T @ e, "class_offset": e.sum(0), "to_item": np.zeros_like(self.p["to_item"]),
-                     "item_offset": np.zeros_like(self.p["item_offset"])}
-        order = np.argsort(c, kind="stable")
-        ends = np.searchsorted(c[order], np.arange(len(self.first)))
-        for k in range(len(self.first) - 1):
-            own, a, b = order[ends[k]: ends[k + 1]], self.first[k], self.first[k + 1]
-            if not len(own) or b - a == 1:
-                continue
-            states = h[own]
-            logits = states @ self.p["to_item"][a:b].T + self.p["item_offset"][a:b]
-            logits -= logits.max(1, keepdims=True)
-            at, i = y[own] - a, rows[: len(own)]
-            chosen = logits[i, at]
-            e = np.exp(logits, out=logits)
-            total = e.sum(1)
-            out[own] += chosen - np.log(total)
-            if back is not None:
-                e *= (back[own] / total)[:, None]
-                e[i, at] -= back[own]
-                dh[own] += e @ self.p["to_item"][a:b]
-                grads["to_item"][a:b] = e.T @ states
-                grads["item_offset"][a:b] = e.sum(0)
-        return out, grads, dh
+    def sorted_by(self, items: np.ndarray) -> np.ndarray:
+        return np.argsort(items.astype(np.uint16) if len(self.class_of) <= 1 << 16 else items, kind="stable")
 
-    def window(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, weight: np.ndarray, h: np.ndarray):
-        """Loss, gradients and last state of one window; arrays are (time, stream)."""
-        steps, streams = x.shape
-        put = (self.p["embed"][x.ravel()] @ self.p["inward"] + self.p["offset"]).reshape(steps, streams, -1)
-        before, kept, after = [], [], []
-        for t in range(steps):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-            before.append(h)
-            h, *parts = self.step(put[t], h)
-            kept.append(parts)
-            after.append(h)
-        rows = weight.ravel() / max(1.0, weight.sum())
-        logp, grads, dh = self.targets(np.concatenate(after), y.ravel(), rows.astype(np.float32))
-        dh = dh.reshape(steps, streams, WIDTH)
-        dput, dg, carry = np.empty_like(put), np.empty_like(put), np.zeros((streams, WIDTH), np.float32)
-        d_offset = np.zeros(WIDTH, np.float32)
-        for t in range(steps - 1, -1, -1):
-            r, z, inner, new = kept[t]
-            d = dh[t] + carry
-            dn = d * (1 - z) * (1 - new * new)
-            dz = d * (before[t] - new) * z * (1 - z)
-            di = dn * r
-            dr = dn * inner * r * (1 - r)
-            np.concatenate([dr, dz, dn], 1, out=dput[t])
-            np.concatenate([dr, dz, di], 1, out=dg[t])
-            d_offset += di.sum(0)
-            carry = np.where(fresh[t][:, None], np.float32(0), d * z + dg[t] @ self.p["inner"].T)
-        flat = dput.reshape(-1, 3 * WIDTH)
-        grads["inner"] = np.concatenate(before).T @ dg.reshape(-1, 3 * WIDTH)
-        grads["inner_offset"], grads["offset"] = d_offset, flat.sum(0)
-        grads["inward"] = self.p["embed"][x.ravel()].T @ flat
-        grads["embed"] = np.zeros_like(self.p["embed"])
-        order = np.argsort(x.ravel(), kind="stable")
-        different, at = np.unique(x.ravel()[order], return_index=True)
-        grads["embed"][different] = np.add.reduceat((flat @ self.p["inward"].T)[order], at)
-        return -(logp * rows).sum(), grads, h
+    def in_order(self, states: np.ndarray, order: np.ndarray, room: Room) -> np.ndarray:
+        """States as rows, a 1 behind each."""
+        found = room.array("in_order", (len(order), WIDTH + 1), states.dtype)
+        found[:, :-1] = states.transpose(0, 2, 1).reshape(-1, WIDTH)[order]
+        found[:, -1] = 1
+        return found
+
+    def window(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, weight: np.ndarray, h: np.ndarray, room: Room | None = None,
+               embed: np.ndarray | None = None):
+        """Loss, gradients and last state of one window; arrays are (time, stream). What it returns may lie in ``room``; the
+        embedding's gradient is put into ``embed``."""
+        (steps, streams), w, p, room = x.shape, WIDTH, self.p, room or Room()
+        kind = p["inner"].dtype
+        states, inputs, before, gates, g, keep = self.states(x, fresh, np.ascontiguousarray(h.T), room)
+
+        # rows in the order of their items; rows without weight have no part
+        flat, share = y.ravel(), weight.ravel()
+        order = self.sorted_by(flat)
+        if not share.all():
+            order = order[share[order] > 0]
+        rows = share[order] / max(1.0, weight.sum())
+        in_order = self.in_order(states, order, room)
+        logp, grads, dh_in_order = self.targets(in_order, flat[order].astype(np.int64), rows.astype(kind), room)
+        dh = np.zeros((steps * streams, w), kind)
+        dh[order] = dh_in_order
+        dh = np.ascontiguousarray(dh.reshape(steps, streams, w).transpose(0, 2, 1))
+
+        # a state's error is multiplied with these to become that of the gates, for all steps at once
+        one, r, z, n = kind.type(1), gates[:, :w], gates[:, w: 2 * w], gates[:, 2 * w:]
+        by_r, by_z, by_n = g[:, :w], g[:, w: 2 * w], g[:, 2 * w:]
+        np.subtract(before[:, :w], n, out=by_z)
+        by_z *= z
+        n *= n
+        np.subtract(one, n, out=n)
+        np.subtract(one, z, out=by_r)
+        n *= by_r
+        by_z *= by_r
+        np.subtract(one, r, out=by_r)
+        by_r *= by_n
+        np.multiply(n, r, out=by_n)
+        by_r *= by_n
+        inner, carry, part = np.ascontiguousarray(p["inner"]), np.zeros((w, streams), kind), np.empty((w, streams), kind)
+        for d, k, own, move in zip(dh[::-1], keep[::-1], g[::-1], z[::-1], strict=True):
+            d += carry
+            three = own.reshape(3, w, streams)
+            np.multiply(three, d, out=three)
+            np.matmul(inner, own, out=carry)
+            np.multiply(d, move, out=part)
+            carry += part
+            carry *= k
+        d_inner = np.matmul(before, g.transpose(0, 2, 1)).sum(0)
+        np.multiply(dh, n, out=by_n)  # from here the errors of the inputs' share
+        d_inward = np.matmul(inputs, g.transpose(0, 2, 1)).sum(0)
+        grads |= {"inner": d_inner[:w], "inner_offset": d_inner[w, 2 * w:], "inward": d_inward[:EMBED], "offset": d_inward[EMBED]}
+        d_inputs = np.matmul(p["inward"], g, out=inputs[:, :EMBED])
+        order = self.sorted_by(x.ravel())
+        own = x.ravel()[order]
+        at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        grads["embed"] = np.empty_like(p["embed"]) if embed is None else embed
+        grads["embed"][:] = 0
+        grads["embed"][own[at]] = np.add.reduceat(d_inputs.transpose(0, 2, 1).reshape(-1, EMBED)[order], at)
+        return -(logp * rows).sum(), grads, states[-1].T
 
     def fit(self, texts: list[np.ndarray], start: int, rate: float) -> None:
         """One pass over documents, each an array of item numbers with its end; ``start`` is the input before the first."""
         x, y, fresh, weight = streams_of(texts, start, STREAMS)
-        m, v = ({k: np.zeros_like(p) for k, p in self.p.items()} for _ in range(2))
-        h, n = np.zeros((x.shape[1], WIDTH), np.float32), 0
+        live = (weight > 0).sum(1)  # streams come longest first
+        values = self.packed()
+        self.unpack(values, copy=False)
+        g, m, v = (np.zeros_like(values) for _ in range(3))
+        of, room, n = self.views(g), Room(), 0
+        h, q = np.zeros((x.shape[1], WIDTH), np.float32), np.empty(min(BLOCK, len(g)), np.float32)
         for a in range(0, len(x), WINDOW):
-            part = slice(a, a + WINDOW)
-            _, grads, h = self.window(x[part], y[part], fresh[part], weight[part], h)
+            own = slice(a, a + WINDOW), slice(0, live[a])
+            _, grads, h = self.window(x[own], y[own], fresh[own], weight[own], h[: live[a]], room, of["embed"])
+            del grads["embed"]  # is in its place
+            for k, d in grads.items():
+                of[k][...] = d
             n += 1
-            norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
-            shrink = np.float32(min(1.0, 2.0 / (norm + 1e-9)))
-            for k, g in grads.items():  # in place: these arrays are most of a step's memory
-                g *= shrink
-                m[k] *= np.float32(0.9)
-                m[k] += np.float32(0.1) * g
-                g *= g
-                g *= np.float32(0.005)
-                v[k] *= np.float32(0.995)
-                v[k] += g
-                np.sqrt(v[k], out=g)
-                g += np.float32(1e-6)
-                np.divide(m[k], g, out=g)
-                g *= np.float32(rate * np.sqrt(1 - 0.995 ** n) / (1 - 0.9 ** n))
-                self.p[k] -= g
-
-    def item_scores(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """As ``targets`` without gradients. A state's values lie in -1..1, so logits have a bound; only where it does
-        not rule out an overflow is the largest logit taken off first."""
-        bound = max(float((self.p[f"{k}_offset"] + np.abs(self.p[f"to_{k}"]).sum(axis)).max()) for k, axis in (("class", 0), ("item", 1)))
-
-        def rest(logits, chosen):
-            top = 0.0 if bound < 60 else logits.max(1, keepdims=True)
-            if bound >= 60:
-                logits -= top
-                top = top[:, 0]
-            np.exp(logits, out=logits)
-            return chosen - top - np.log(logits @ np.ones(logits.shape[1], np.float32))
-
-        order = np.argsort(self.class_of[y], kind="stable")
-        h, y = h[order], y[order]
-        c = self.class_of[y]
-        logits = h @ self.p["to_class"]
-        logits += self.p["class_offset"]
-        out = rest(logits, logits[np.arange(len(y)), c]).astype(np.float64)
-        ends = np.searchsorted(c, np.arange(len(self.first)))
-        for k in range(len(self.first) - 1):
-            own, a, b = slice(ends[k], ends[k + 1]), self.first[k], self.first[k + 1]
-            if ends[k] < ends[k + 1] and b - a > 1:
-                logits = h[own] @ self.p["to_item"][a:b].T
-                logits += self.p["item_offset"][a:b]
-                out[own] += rest(logits, logits[np.arange(len(logits)), y[own] - a])
-        back = np.empty_like(out)
-        back[order] = out
-        return back
+            norm = np.sqrt(float(np.vdot(g, g)))
+            if norm > 2:
+                g *= np.float32(2 / norm)
+            # means of 0.9 m + 0.1 g and 0.995 v + 0.005 g g, over 0.1 and 0.005; the factors are in the size and the least divisor
+            size = np.float32(rate * np.sqrt(1 - 0.995 ** n) / (1 - 0.9 ** n) * 0.1 / np.sqrt(0.005))
+            for b in range(0, len(g), BLOCK):  # blocks stay in the cache from one operation to the next
+                (d, mean, square), part = (z[b: b + BLOCK] for z in (g, m, v)), q[: len(g) - b]
+                mean *= np.float32(0.9)
+                mean += d
+                square *= np.float32(0.995)
+                d *= d
+                square += d
+                np.sqrt(square, out=part)
+                part += np.float32(1e-6 / np.sqrt(0.005))
+                np.divide(mean, part, out=part)
+                part *= size
+                values[b: b + BLOCK] -= part
 
     def score(self, texts: list[np.ndarray], start: int) -> np.ndarray:
         """Natural log probability of every document."""
         owner, x, y, fresh, live = streams_of(texts, start, SCORE_STREAMS, owners=True)
-        # streams go along the rows of memory, so the gates are whole blocks; signs and the 2 of tanh(v) = 2 sigmoid(2 v) - 1 are
-        # in the weights, which leaves 1 / (1 + exp(v))
-        sign = np.where(np.arange(3 * WIDTH) < 2 * WIDTH, -1.0, -2.0).astype(np.float32)
-        put = (self.p["embed"] @ self.p["inward"] + self.p["offset"]) * sign
-        inner = np.ascontiguousarray((self.p["inner"] * sign).T)
-        inner_offset = (-2 * self.p["inner_offset"])[:, None]
-        out, h = np.zeros(len(texts)), np.zeros((WIDTH, x.shape[1]), np.float32)
-        a = 0
+        out, h, room, a = np.zeros(len(texts)), np.zeros((WIDTH, x.shape[1]), np.float32), Room(), 0
         while a < len(x):
             k = int(live[a])
-            steps = min(-(-SCORE_ROWS // k), len(x) - a)
-            part, h = slice(a, a + steps), np.ascontiguousarray(h[:, :k])
-            inputs = np.ascontiguousarray(put[x[part, :k]].transpose(0, 2, 1))
-            states = np.empty((steps, WIDTH, k), np.float32)
-            new_doc, begins = fresh[part, :k], fresh[part, :k].any(1)
-            with np.errstate(over="ignore"):  # 1 / (1 + inf) is the limit
-                for t in range(steps):
-                    if begins[t]:
-                        h = h * ~new_doc[t]
-                    g, v = inner @ h, inputs[t]
-                    gates, new = g[: 2 * WIDTH], g[2 * WIDTH:]
-                    gates += v[: 2 * WIDTH]
-                    _logistic(gates)
-                    new += inner_offset
-                    new *= gates[:WIDTH]
-                    new += v[2 * WIDTH:]
-                    _logistic(new)
-                    new *= np.float32(2)
-                    new -= np.float32(1)
-                    h = np.subtract(h, new, out=states[t])
-                    h *= gates[WIDTH:]
-                    h += new
-            own = owner[part, :k].ravel()
-            real = np.flatnonzero(own >= 0)
-            logp = self.item_scores(states.transpose(0, 2, 1).reshape(-1, WIDTH)[real], y[part, :k].ravel()[real])
-            out += np.bincount(own[real], logp, minlength=len(texts))
-            a += steps
+            part = slice(a, min(a - (-SCORE_ROWS // k), len(x))), slice(0, k)
+            states = self.states(x[part], fresh[part], np.ascontiguousarray(h[:, :k]), room)[0]
+            h = states[-1].copy()
+            own, items = owner[part].ravel(), y[part].ravel()
+            order = self.sorted_by(items)
+            if own.min() < 0:
+                order = order[own[order] >= 0]
+            logp = self.targets(self.in_order(states, order, room), items[order].astype(np.int64), None, room)
+            out += np.bincount(own[order], logp, minlength=len(texts))
+            a = part[0].stop
         return out
 
 

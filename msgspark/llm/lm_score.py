@@ -14,7 +14,8 @@ a copy of the model on them by truncated backpropagation, and the copies' parame
 together visit every training document, and MIN_VISITS tokens at least (documents come again in a small corpus,
 at most once a round). Lanes go by a hash of the content, so neither partitioning nor retries change the model beyond rounding.
 
-Scoring: whole documents in streams, the state carried from window to window. Scores are rounded to DIGITS digits.
+Scoring: whole documents in streams, the state carried from window to window. Scores are rounded to DIGITS digits. Texts become
+items once, for training and scoring.
 
 Defined results: a null or empty text is one end token. A null id counts for training. Rows are told apart by id and text; repeated
 rows get equal scores. Without training documents N and V are 0 and all scores come from the smoothing alone. Other columns
@@ -72,6 +73,8 @@ class Model:
     net: Gru
     losses: list = field(default_factory=list)
     visits: int = 0  # tokens that training went over
+    docs: tuple = ()  # the table fitted, its columns, and its rows in items: scored without going over its words again
+    rows: DataFrame | None = None
 
     def sent(self) -> "Model":
         return Model(None, *[getattr(self, c) for c in ("tokens", "types", "words", "word_counts", "items", "ends", "group_tokens",
@@ -139,19 +142,6 @@ def _frequent(counts: DataFrame, limit: int) -> pa.Table:
     return words.filter(F.col("step") >= least).select("word", "grp", "n").toArrow()
 
 
-def _encode(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for batch in batches:
-            for part in slices(batch, limit=SLICE):
-                words = Words(*utf8(part.column("text")), NOT_SPACE, lower=True)
-                numbers, different = words.numbered()
-                items = m.looked_up(different)[1][numbers] if len(numbers) else numbers
-                rows = [np.r_[items[a:b], m.end].astype(np.int32).tobytes() for a, b in zip(words.texts[:-1], words.texts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("at"), pa.array(rows, pa.binary())], ["at", "ids"])
-    return run
-
-
 def _train(model, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def trained(texts: list[np.ndarray]) -> pa.RecordBatch:
@@ -217,9 +207,9 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_vis
         return model
     # of a round, in parts of all documents: the rounds together take every document
     width = min(FRACTION, -(-FRACTION * max(min_visits, tokens) // (ROUNDS * tokens)))
-    at = F.pmod(F.xxhash64("doc_id", "text"), F.lit(FRACTION))
-    training = texts.filter("not held_out").select(at.alias("at"), "text")
-    coded = written(training.mapInArrow(_encode(spark.sparkContext.broadcast(model.sent())), "at long, ids binary"), "training")
+    model.docs, model.rows = (docs, text_col, id_col), _encoded(texts, model)
+    at = F.pmod("hash", F.lit(FRACTION))
+    coded = model.rows.filter("kind = 'text' and not held_out").select(at.alias("at"), "ids")
     lanes = max(1, round(tokens * width / FRACTION / lane))
     for r in range(ROUNDS):
         own = coded.filter(F.pmod(F.col("at") - r * width, F.lit(FRACTION)) < width).withColumn("hash", F.xxhash64("ids"))
@@ -234,13 +224,15 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_vis
     return model
 
 
-ROWS = ("kind string, key string, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
-        "word string, grp int, n long")
+ROWS = ("kind string, key string, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inside double, "
+        "hash long, ids binary, word string, grp int, n long")
 NAMES = [c.split()[0] for c in ROWS.split(", ")]
-TYPES = [pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int32(), pa.int64()]
+TYPES = [pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary(),
+         pa.string(), pa.int32(), pa.int64()]
 
 
-def _score(model):
+def _encode(model):
+    """A row of each text with its items and all that the counts at hand tell of it, and a row of each other word of it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         end_base = float(m.base(np.array([m.ends]))[0])
@@ -255,15 +247,15 @@ def _score(model):
                 doc = np.repeat(np.arange(n), np.diff(words.texts))
                 total = lambda of_word: np.bincount(doc, of_word[numbers], minlength=n) if len(numbers) else np.zeros(n)
                 n_known = total((counts > 0).astype(float)).astype(np.int64) + (m.ends > 0)
-                with_ends = np.insert(items[numbers] if len(numbers) else numbers, words.texts[1:], m.end)
+                with_ends = np.insert(items[numbers] if len(numbers) else numbers, words.texts[1:], m.end).astype(np.int32)
                 cut = words.texts + np.arange(n + 1)
-                net = m.net.score([with_ends[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], m.end) / np.log(10)
+                ids_of = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((4 * cut).astype(np.int32)), pa.py_buffer(with_ends)])
                 open_ = ~known[numbers] if len(numbers) else np.zeros(0, bool)
                 asked = np.bincount(doc[open_], minlength=n) > 0
                 ids, texts = part.column("doc_id").to_pylist(), part.column("text")
                 keys = [f"{ids[i]}:{hashlib.md5((texts[i].as_py() or '').encode()).hexdigest()}" if asked[i] else None for i in range(n)]
                 columns = [["text"] * n, keys, ids, part.column("held_out"), np.diff(cut), n_known, total(base) + end_base,
-                           net + total(inside), [None] * n, [None] * n, [None] * n]
+                           total(inside), part.column("hash"), ids_of, [None] * n, [None] * n, [None] * n]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(
                     columns, TYPES, strict=True)], NAMES)
                 pairs, many = np.unique(doc[open_] * max(1, len(different)) + numbers[open_], return_counts=True)
@@ -277,10 +269,32 @@ def _score(model):
     return run
 
 
+def _encoded(texts: DataFrame, model: Model) -> DataFrame:
+    return written(texts.withColumn("hash", F.xxhash64("doc_id", "text")).mapInArrow(
+        _encode(texts.sparkSession.sparkContext.broadcast(model.sent())), ROWS), "items")
+
+
+SCORED = "key string, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _score(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for batch in batches:
+            for part in slices(batch, "ids", SLICE):
+                net = m.net.score([np.frombuffer(x, np.int32) for x in part.column("ids").to_pylist()], m.end) / np.log(10)
+                yield pa.RecordBatch.from_arrays([*(part.column(c.split()[0]) for c in SCORED.split(", ")[:-1]), pa.array(
+                    net + part.column("inside").to_numpy(zero_copy_only=False))], [c.split()[0] for c in SCORED.split(", ")])
+    return run
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document; scores are log10."""
     spark = docs.sparkSession
-    rows = written(_texts(docs, text_col, id_col).mapInArrow(_score(spark.sparkContext.broadcast(model.sent())), ROWS), "scored")
+    fitted = model.docs and model.docs[0] is docs and model.docs[1:] == (text_col, id_col)
+    rows = model.rows if fitted else _encoded(_texts(docs, text_col, id_col), model)
+    documents = written(rows.filter("kind = 'text'").drop("kind", "hash", "word", "grp", "n").mapInArrow(
+        _score(spark.sparkContext.broadcast(model.sent())), SCORED), "scored")
     mass = spark.createDataFrame([(g, float(x)) for g, x in enumerate(model.group_mass)], "grp int, mass double")
     c = F.coalesce(F.col("c"), F.lit(0)) + F.lit(SMOOTH)
     open_words = rows.filter("kind = 'word'").select("key", "word", "grp", "n").distinct()  # repeated rows have one key
@@ -290,7 +304,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"),
         F.sum(F.col("n") * F.log10(c / F.lit(model.tokens + SMOOTH * (model.types + 1)))).alias("more_base"),
         F.sum(F.col("n") * F.log10(c / F.col("mass"))).alias("more_score"))
-    documents = rows.filter("kind = 'text'").drop("word", "grp", "n")
     none = [F.lit(0).cast("long").alias("more_known"), *(F.lit(0.0).alias(x) for x in ("more_base", "more_score"))]
     both = documents.filter("key is null").select("*", *none).unionByName(documents.filter("key is not null").join(rest, "key").select(
         *documents.columns, "more_known", "more_base", "more_score"))

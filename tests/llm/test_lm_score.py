@@ -117,6 +117,24 @@ def test_training_lowers_the_loss_and_classes_hold_all_items():
     assert sorted(order) == list(range(6)) and first[0] == 0 and first[-1] == 6 and (np.diff(first) > 0).all()
 
 
+def test_windows_hold_only_streams_that_go_on(monkeypatch):
+    rng, places, window = np.random.default_rng(2), [], gru.Gru.window
+    monkeypatch.setattr(gru.Gru, "window", lambda self, x, *rest: places.append(x.size) or window(self, x, *rest))
+    texts = [rng.integers(0, 90, n).astype(np.int32) for n in (1000, *[10] * 100)]
+    random_net().fit(texts, 4, 1e-3)
+    assert 2000 <= sum(places) < 2100
+
+
+def test_fitted_table_is_scored_like_any_other(spark):
+    rows = table(60)
+    df = spark.createDataFrame(rows, SCHEMA)
+    for limit in (1 << 18, 70):
+        model = lm_score.fit(df, lookup_words=limit, **SMALL)
+        assert model.rows is not None
+        own, other = (sorted(map(tuple, lm_score.score(d, model).collect()), key=repr) for d in (df, spark.createDataFrame(rows, SCHEMA)))
+        assert own == other and len(own) == len(rows)
+
+
 def rows_of(df):
     return sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in df.collect()), key=repr)
 
