@@ -1,9 +1,10 @@
 """N-gram Jaccard join: documents whose shingle sets agree, linked by a prefix tree over globally ordered sets.
 
 1. Equal sets form a class; one row of each class goes on.
-2. All shingles get one global order, rare ones first: by a count sketch over all documents (a fixed number
-   of counters, so it stays small at any size), then by hash. Any order gives the same links; this one keeps shingles
-   that many documents share out of the prefixes.
+2. All shingles get one global order, common ones last: by their documents, counted over all documents in 2^26 buckets of their
+   hashes (four bits for each go to the tasks, so they stay small at any size), then by hash. Any order gives the same links; this
+   one keeps shingles that many documents share out of the prefixes. With few counters, all of them are full when the corpus is
+   large, common shingles do not stand out any more, and unrelated sets grow into one group.
 3. Two sets that agree enough share some of their first n - ceil(t n) + 1 shingles; pairs that share too few are
    dropped (``candidates``). What remains forms groups (connected components, found by contraction).
 4. The sets of a group go into a trie in global order. A set walks the trie, sharing the overlap counted along a path
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,9 @@ from .components import components
 from .storage import written
 
 SKETCH_BITS = 20
-BLOCK_BITS = 12
+NEXT_BITS = 6
+BLOCK_BITS = 16
+HELD = 1 << 22
 GROUP_TOKENS = 1 << 21
 SMALL_GROUP = 32
 SHARED_SETS = 64
@@ -80,41 +84,98 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), "<i8")
 
 
-def sketch(texts: DataFrame, size: int) -> np.ndarray:
-    """How many documents have a shingle, per counter; the counters of all tasks are added in two exchanges."""
-    per_block, n = 1 << BLOCK_BITS, 1 << SKETCH_BITS
-    schema = "block int, salt int, counts binary"
+class Order(NamedTuple):
+    """How common shingles are: ``counts`` the documents of 2^SKETCH_BITS runs of buckets, ``levels`` four bits for each bucket, compressed."""
+    counts: np.ndarray
+    levels: bytes
+
+    def of_buckets(self) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(self.levels), np.uint8)
+
+
+def levels(total: np.ndarray) -> np.ndarray:
+    """Two buckets a byte; a level is half a deviation of what chance puts into a bucket, and a doubling from three deviations on."""
+    mean = total.mean()
+    step = max(1.0, mean ** 0.5)
+    bounds = mean + step * np.array([-1, -0.5, 0, 0.5, 1, 1.5, 2, 3])
+    level = np.searchsorted(np.r_[bounds, bounds[-1] * 2.0 ** np.arange(1, 8)], total).astype(np.uint8)
+    return level[::2] | level[1::2] << 4
+
+
+def buckets(h: np.ndarray) -> np.ndarray:
+    low = (h & np.uint64((1 << SKETCH_BITS) - 1)) << np.uint64(NEXT_BITS)
+    return (low | (h >> np.uint64(SKETCH_BITS)) & np.uint64((1 << NEXT_BITS) - 1)).astype(np.uint32)
+
+
+def gaps(at: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted numbers as bytes, each as the distance from the one before (from 0 at ``starts``) with 255 for as many; where each ends."""
+    step = np.diff(at, prepend=at[:1])
+    step[starts] = at[starts]
+    ends = np.cumsum(step // 255 + 1)
+    out = np.full(int(ends[-1]), 255, np.uint8)
+    out[ends - 1] = step % 255
+    return out, ends
+
+
+def from_gaps(data: np.ndarray) -> np.ndarray:
+    return np.cumsum(data, dtype=np.int64)[data != 255]
+
+
+def sketch(texts: DataFrame, size: int) -> Order:
+    """How many documents have a shingle, per bucket of its hash: 2^26 buckets, as in fewer a common shingle does not stand out of
+    those that only share its bucket. A task sends a byte or so for each of its shingles, to the task that counts a block of buckets."""
+    per_block = 1 << BLOCK_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        held, n = [], 0
+
+        def rows() -> pa.RecordBatch:
+            at = np.sort(np.concatenate(held)).astype(np.int64)
+            block, first = np.unique(at >> BLOCK_BITS, return_index=True)
+            data, ends = gaps(at & (per_block - 1), first)
+            edges = np.r_[0, ends[first[1:] - 1], ends[-1]].astype(np.int32)
+            return pa.RecordBatch.from_arrays([
+                pa.array(block.astype(np.int32)), pa.Array.from_buffers(
+                    pa.binary(), len(block), [None, pa.py_buffer(edges), pa.py_buffer(data)])], ["block", "at"])
 
-        total = np.zeros(n, np.int64)
         for batch in batches:
             for part in slices(batch, limit=anchors.PIECE):
                 h, _ = shingle_sets(part.column("text"), size)
-                total += np.bincount((h & np.uint64(n - 1)).astype(np.int64), minlength=n)
-        blocks = total.reshape(-1, per_block)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.arange(len(blocks), dtype=np.int32)),
-            pa.array(np.full(len(blocks), TaskContext.get().partitionId() % 256, np.int32)),
-            pa.array([packed(b) for b in blocks], pa.binary())], ["block", "salt", "counts"])
+                held.append(buckets(h))
+                n += len(h)
+                if n > HELD:
+                    yield rows()
+                    held, n = [], 0
+        if n:
+            yield rows()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                key, counts = (row["block"], row["salt"]), unpacked(row["counts"])
-                sums[key] = sums[key] + counts if key in sums else counts
-        yield pa.RecordBatch.from_arrays([
-            pa.array([k[0] for k in sums], pa.int32()), pa.array([k[1] for k in sums], pa.int32()),
-            pa.array([packed(v) for v in sums.values()], pa.binary())], ["block", "salt", "counts"])
+        now, total = None, np.zeros(per_block, np.int64)
 
-    parts = texts.select("text").mapInArrow(count, schema).repartition("block", "salt").mapInArrow(add, schema)
-    rows = parts.withColumn("salt", F.lit(0)).repartition("block").mapInArrow(add, schema).collect()  # one per block
-    total = np.zeros(n, np.int64)
-    for r in rows:
-        total[r.block * per_block: (r.block + 1) * per_block] = unpacked(r.counts)
-    return total
+        def row() -> pa.RecordBatch:
+            runs = total.reshape(-1, 1 << NEXT_BITS).sum(axis=1)
+            return pa.RecordBatch.from_arrays([
+                pa.array([now], pa.int32()), pa.array([zlib.compress(levels(total).tobytes(), 1)], pa.binary()),
+                pa.array([packed(runs)], pa.binary())], ["block", "levels", "counts"])
+
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("at"), strict=True):
+                if block != now:
+                    if now is not None:
+                        yield row()
+                    now, total = block, np.zeros(per_block, np.int64)
+                total += np.bincount(from_gaps(np.frombuffer(data.as_buffer(), np.uint8)), minlength=per_block)
+        if now is not None:
+            yield row()
+
+    parts = texts.select("text").mapInArrow(count, "block int, at binary").repartition("block").sortWithinPartitions("block")
+    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+    found = np.zeros((1 << SKETCH_BITS + NEXT_BITS) // 2, np.uint8)
+    runs, size_ = per_block >> NEXT_BITS, per_block // 2
+    for r in parts.mapInArrow(add, "block int, levels binary, counts binary").collect():  # one per block
+        counts[r.block * runs: (r.block + 1) * runs] = unpacked(r.counts)
+        found[r.block * size_: (r.block + 1) * size_] = np.frombuffer(zlib.decompress(r.levels), np.uint8)
+    return Order(counts, zlib.compress(found.tobytes(), 1))
 
 
 def ordered(h: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -122,24 +183,33 @@ def ordered(h: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.lexsort((h, counts[(h & np.uint64(len(counts) - 1)).astype(np.int64)], owner))
 
 
+def by_level(h: np.ndarray, owner: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Positions of the shingles owner by owner, those of buckets with few documents first."""
+    at = buckets(h)
+    return np.lexsort((h, found[at >> 1] >> ((at & 1) << 2).astype(np.uint8) & 15, owner))
+
+
 def digests(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128-bit digest of each set; the order of its shingles doesn't matter."""
     sums = [np.r_[np.uint64(0), np.cumsum(v, dtype=np.uint64)] for v in (mix(h), mix(h ^ anchors.M3))]
     return tuple((s[offsets[1:]] - s[offsets[:-1]]).view(np.int64) for s in sums)
 
 
-def prefixes(texts: DataFrame, size: int, percent: int, counts: np.ndarray) -> DataFrame:
+def prefixes(texts: DataFrame, size: int, percent: int, order: Order) -> DataFrame:
     """(doc_id, key, n, one, two, prefix): set size, 128-bit digest of the set, its first shingles in global order.
 
     Of equal sets in a slice only the one with the smallest key gives a prefix, so a hot group of copies arrives at the next
     exchange as one row for each slice; the smallest key of all is always among them.
     """
+    small = order._replace(counts=order.counts[:0])  # tasks need the levels only
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = small.of_buckets()
         for batch in batches:
             for part in slices(batch, limit=anchors.PIECE):
                 h, offsets = shingle_sets(part.column("text"), size)
                 n = np.diff(offsets)
-                h = h[ordered(h, np.repeat(np.arange(len(n)), n), counts)]
+                h = h[by_level(h, np.repeat(np.arange(len(n)), n), found)]
                 one, two = digests(h, offsets)
                 keys = part.column("key").to_numpy(zero_copy_only=False)
                 order = np.lexsort((keys, two, one))
@@ -384,12 +454,12 @@ def sets_of(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         F.explode("units").alias("unit"), "key", "one", "two", "set")
 
 
-def grouped(texts: DataFrame, size: int, percent: int, counts: np.ndarray) -> tuple[DataFrame, DataFrame]:
+def grouped(texts: DataFrame, size: int, percent: int, order: Order) -> tuple[DataFrame, DataFrame]:
     """Members (doc_id, key, n, one, two, rep) and the classes (key, n, one, two, copies, top, total, k) that may have links.
 
     top is the candidate group, total and k its shingles and its classes.
     """
-    sets = written(prefixes(texts, size, percent, counts), "prefixes")
+    sets = written(prefixes(texts, size, percent, order), "prefixes")
     digest = ["n", "one", "two"]
     classes = written(sets.filter("n > 0").groupBy(*digest).agg(
         F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
@@ -410,8 +480,9 @@ def link_components(docs: DataFrame, size: int = 4, percent: int = 85, text_col:
     class_id is the smallest doc_id with the same set, component_id the smallest one reachable by links.
     """
     texts = anchors.texts_of(docs, text_col, id_col)
-    counts = sketch(texts, size)
-    members, sized = grouped(texts, size, percent, counts)
+    order = sketch(texts, size)
+    counts = order.counts
+    members, sized = grouped(texts, size, percent, order)
     sized = sized.drop("k").withColumn("blocks", F.ceil(F.col("total") / F.lit(group_tokens)).cast("long"))
     # one unit for a group, or one for each of its blocks; the sets of least hash are in all blocks
     row = ("key", "one", "two")
@@ -511,8 +582,9 @@ def link_pairs(docs: DataFrame, size: int = 4, percent: int = 85, text_col: str
     The rows grow with the square of a group's classes. Classes of one doc_id (it came with several texts) give no pair.
     """
     texts = anchors.texts_of(docs, text_col, id_col)
-    counts = sketch(texts, size)
-    _, sized = grouped(texts, size, percent, counts)
+    order = sketch(texts, size)
+    counts = order.counts
+    _, sized = grouped(texts, size, percent, order)
     found = walk_pairs(pair_units(texts, sized, size, group_tokens, pair_sets), counts, percent, True)
     back = lambda c: F.when(c != LOWEST, c)
     return found.filter("a <> b").select(back(F.least("a", "b")).alias("a"), back(F.greatest("a", "b")).alias("b")).distinct()
@@ -525,8 +597,9 @@ def link_counts(docs: DataFrame, size: int = 4, percent: int = 85, text_col: str
     Counts are added up where the pairs are found, so no row a pair is made.
     """
     texts = anchors.texts_of(docs, text_col, id_col)
-    counts = sketch(texts, size)
-    members, sized = grouped(texts, size, percent, counts)
+    order = sketch(texts, size)
+    counts = order.counts
+    members, sized = grouped(texts, size, percent, order)
     found = walk_pairs(pair_units(texts, sized, size, group_tokens, pair_sets), counts, percent, False)
     found = found.groupBy("one", "two").agg(F.sum("n").alias("more"))
     copies = members.filter("n > 0").groupBy("one", "two").agg((F.count(F.lit(1)) - 1).alias("same"))

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from msgspark.llm import anchors, fm_dedup, jaccard_join, suffix_dedup
@@ -341,3 +342,32 @@ def test_long_words_that_a_polynomial_confuses_are_told_apart(spark):
     assert {r.doc_id: r.n_removed for r in fm_dedup.remove_repeats(df).collect()} == {1: 0, 2: 0}
     sets = spark.createDataFrame([(1, f"{thue} a b c"), (2, f"{other} a b c")], SCHEMA)
     assert {r.doc_id: r.component_id for r in jaccard_join.link_components(sets).collect()} == {1: 1, 2: 2}
+
+
+def test_places_of_shingles_round_trip_in_gaps():
+    rng = np.random.default_rng(4)
+    at = np.sort(rng.integers(0, 1 << 16, 3000))
+    for own in (at, at[:1], np.array([0, 0, 254, 255, 510, 65535, 65535])):
+        assert jaccard_join.from_gaps(jaccard_join.gaps(own, np.array([0]))[0]).tolist() == own.tolist()
+
+
+def test_common_shingles_stand_out_of_full_buckets():
+    """A shingle of 200 documents, in buckets that hold 36 others each, is ordered after nearly all that occur once."""
+    total = np.random.default_rng(5).poisson(36, 1 << 16)
+    total[::100] += 200
+    level = jaccard_join.levels(total)
+    level = np.stack([level & 15, level >> 4], axis=1).ravel()
+    assert level[::100].min() > level[np.arange(len(total)) % 100 > 0].max()
+
+
+def test_sketch_counts_documents_of_each_shingle(spark):
+    rows = [(i, f"common words of all texts w{i} x{i}") for i in range(40)]
+    texts = anchors.texts_of(spark.createDataFrame(rows, SCHEMA).repartition(3), "text", "doc_id")
+    order = jaccard_join.sketch(texts, 4)
+    h, offsets = jaccard_join.shingle_sets(pa.array([rows[0][1]]), 4)
+    assert len(h) == 4 and int(order.counts.sum()) == 4 * 40
+    found = order.of_buckets()
+    first = h[jaccard_join.by_level(h, np.zeros(4, np.int8), found)]
+    at = jaccard_join.buckets(first)
+    levels = found[at >> 1] >> ((at & 1) << 2).astype(np.uint8) & 15
+    assert levels[1] < levels[2] and levels[2] == levels[3]  # two shingles of one text, two of all
