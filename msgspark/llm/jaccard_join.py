@@ -41,6 +41,7 @@ SKETCH_BITS = 20
 NEXT_BITS = 6
 BLOCK_BITS = 16
 HELD = 1 << 22
+KEY_BITS = 24
 GROUP_TOKENS = 1 << 21
 SMALL_GROUP = 32
 SHARED_SETS = 64
@@ -431,6 +432,25 @@ def link_units(rows: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     return rows.repartition("unit").sortWithinPartitions("unit", "key").mapInArrow(run, "a long, b long")
 
 
+def with_keys(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``texts`` without most rows whose key is not in ``wanted``, so that they are not exchanged; 2^KEY_BITS bits of hashed keys tell."""
+    at = F.pmod(F.xxhash64("key"), F.lit(1 << KEY_BITS))
+    bits = np.zeros((1 << KEY_BITS) // 8, np.uint8)
+    per = 1 << 12  # bytes of a bitmap of Spark's
+    for r in wanted.select((at + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect():  # one for 2^15 bits
+        bits[(r.bucket - 1) * per: r.bucket * per] = np.frombuffer(r.bits, np.uint8)
+    packed = zlib.compress(bits.tobytes(), 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.frombuffer(zlib.decompress(packed), np.uint8)
+        for batch in batches:
+            at = batch.column("at").to_numpy(zero_copy_only=False)
+            yield batch.select(["key", "text"]).filter(pa.array((own[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+
+    return texts.select("key", "text", at.alias("at")).mapInArrow(run, texts.select("key", "text").schema)
+
+
 def sets_of(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """The rows of ``wanted`` (key, one, two, unit) with the shingle set that has the digest one, two among the key's texts."""
     kind = wanted.schema["unit"].dataType.simpleString()
@@ -447,9 +467,10 @@ def sets_of(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                     [*(part.column(c) for c in ("units", "key", "one", "two")), sets],
                     ["units", "key", "one", "two", "set"]).filter(pa.array(same))
 
-    units = wanted.groupBy("key", "one", "two").agg(F.collect_list("unit").alias("units"))
+    units = written(wanted.groupBy("key", "one", "two").agg(F.collect_list("unit").alias("units")), "units")
     # the same plan at all sizes: a small side would be broadcast on small inputs only
-    found = texts.select("key", "text").join(units.hint("merge"), "key").select("units", "key", "one", "two", "text")
+    found = with_keys(texts.select("key", "text"), units).join(units.hint("merge"), "key").select(
+        "units", "key", "one", "two", "text")
     return found.mapInArrow(run, f"units array<{kind}>, key long, one long, two long, set binary").select(
         F.explode("units").alias("unit"), "key", "one", "two", "set")
 

@@ -371,3 +371,10 @@ def test_sketch_counts_documents_of_each_shingle(spark):
     at = jaccard_join.buckets(first)
     levels = found[at >> 1] >> ((at & 1) << 2).astype(np.uint8) & 15
     assert levels[1] < levels[2] and levels[2] == levels[3]  # two shingles of one text, two of all
+
+
+def test_texts_that_no_unit_asks_for_are_not_exchanged(spark):
+    texts = spark.createDataFrame([(i, f"t{i}") for i in range(-3, 3000)], "key long, text string")
+    wanted = texts.filter("key % 100 = 0").select("key")
+    kept = {r.key: r.text for r in jaccard_join.with_keys(texts, wanted).collect()}
+    assert all(kept[k] == f"t{k}" for k in range(0, 3000, 100)) and len(kept) < 40
