@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +109,29 @@ def test_knn_matches_brute_force_with_copies(spark, tuning):
     assert np.allclose([got[i] for i in range(len(x))], brute(x, 3), atol=1e-6)
 
 
+@pytest.mark.parametrize("shift", [0.0, 1000.0, 1e20])
+def test_nearest_measures_all_that_short_floats_cannot_tell_apart(shift, monkeypatch):
+    monkeypatch.setattr(N, "TILE", (32, 16))
+    x = np.random.default_rng(8).integers(0, 4, (150, 3)) * max(1.0, shift) / 8 + shift  # many ties
+    table = pa.table({"id": np.arange(150), "copies": np.ones(150, np.int64),
+                      "indices": pa.array([[]] * 150, pa.list_(pa.int32())), "values": pa.array(x.tolist(), pa.list_(pa.float64()))})
+    near = N.Nearest(table, 3, 3)
+    for i in (100, 0, 50):
+        near.meet(table.slice(i, 50))
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), 9)
+    np.fill_diagonal(d, np.inf)
+    for i in range(150):
+        order = np.lexsort((np.arange(150), d[i]))[:4]
+        assert near.nn[i].tolist() == order.tolist() and near.dist[i].tolist() == d[i, order].tolist()
+    assert near.rows().num_rows == 600
+
+
+def test_every_unit_has_a_partition(spark):
+    for parts in (1, 7, 300):
+        rows = spark.createDataFrame([(int(x),) for x in N.slots(spark, parts)], "slot bigint").repartition(parts, "slot")
+        assert rows.select(F.spark_partition_id().alias("p")).distinct().count() == parts
+
+
 def test_smote_rows(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(160, 4))
