@@ -237,7 +237,8 @@ def candidates(sets: DataFrame, percent: int) -> DataFrame:
     token = Window.partitionBy("token")
     rows = sets.select("key", "n", F.explode("prefix").alias("token")).select(
         "*", F.count(F.lit(1)).over(token).alias("g"), F.min("key").over(token).alias("least")).filter("g > 1")
-    large = rows.filter(F.col("g") > SMALL_GROUP).select(F.col("least").alias("a"), F.col("key").alias("b"))
+    # n is asked for in both, so that one exchange serves both
+    large = rows.filter((F.col("g") > SMALL_GROUP) & (F.col("n") > 0)).select(F.col("least").alias("a"), F.col("key").alias("b"))
     before = token.orderBy("n", "key").rowsBetween(-(SMALL_GROUP - 1), -1)
     pairs = rows.filter(F.col("g") <= SMALL_GROUP).select(
         "key", "n", F.collect_list(F.struct("n", "key")).over(before).alias("others")).select(

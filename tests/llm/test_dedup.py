@@ -378,3 +378,11 @@ def test_texts_that_no_unit_asks_for_are_not_exchanged(spark):
     wanted = texts.filter("key % 100 = 0").select("key")
     kept = {r.key: r.text for r in jaccard_join.with_keys(texts, wanted).collect()}
     assert all(kept[k] == f"t{k}" for k in range(0, 3000, 100)) and len(kept) < 40
+
+
+def test_candidates_exchange_prefix_shingles_once(spark):
+    rows = [(i, 10, [7, 100 + i // 2]) for i in range(40)]
+    found = jaccard_join.candidates(spark.createDataFrame(rows, "key long, n long, prefix array<long>"), 85)
+    edges = {(r.a, r.b) for r in found.collect()}
+    assert {(0, i) for i in range(1, 40)} <= edges  # tied by the shingle of all
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
